@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, sized
 from .slices import map_slices, rows_that_count, starts_of, with_fps
-from .spikes import CLASSES
+from .spikes import CLASSES, class_code
 
 #: Edge lengths in metres of the cells of a cover, coarse to fine; each divides the one before.
 LEVELS = (16.0, 4.0, 1.0)
@@ -44,33 +44,30 @@ def group_code(group: str = "group") -> Column:
     return out
 
 
-def _group_of_class(name: str = "class") -> Column:
-    c = F.lower(F.trim(F.col(name)))
-    out = F.lit(None).cast("int")
-    for k in CLASSES:
-        out = F.when(c == k, GROUPS.index(GROUP_OF[k]) + 1).otherwise(out)
-    return out
-
-
-def track_groups(points: DataFrame) -> DataFrame:
-    """(track_id, g): the group that most rows of the track name, the first of GROUPS on ties.
+def track_labels(points: DataFrame) -> DataFrame:
+    """(track_id, g, kind): codes of the group and the class that most rows of the track name.
 
-    Where no row names a group, the class that most rows have decides; where none has, g is 0.
+    Ties go to the first of GROUPS and CLASSES. Where no row names a group, that of the class holds;
+    0 stands for neither. Counts are combined before the shuffle, so a hot track costs nothing.
     """
-    named, classed = group_code(), _group_of_class()
-    sums = [F.sum((named == k).cast("long")).alias(f"_n{k}") for k in range(1, len(GROUPS) + 1)]
-    sums += [F.sum((classed == k).cast("long")).alias(f"_c{k}") for k in range(1, len(GROUPS) + 1)]
+    named, classed = group_code(), class_code()
+    sums = [F.sum((named == k).cast("long")).alias(f"_g{k}") for k in range(1, len(GROUPS) + 1)]
+    sums += [F.sum((classed == k).cast("long")).alias(f"_c{k}") for k in range(1, len(CLASSES) + 1)]
     votes = points.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(*sums)
 
-    def best(prefix: str) -> Column:
-        counts = [F.coalesce(F.col(f"{prefix}{k}"), F.lit(0)) for k in range(1, len(GROUPS) + 1)]
+    def best(prefix: str, n: int) -> Column:
+        counts = [F.coalesce(F.col(f"{prefix}{k}"), F.lit(0)) for k in range(1, n + 1)]
         most = F.greatest(*counts)
-        out = F.lit(None).cast("int")
-        for k in reversed(range(1, len(GROUPS) + 1)):
+        out = F.lit(0)
+        for k in reversed(range(1, n + 1)):
             out = F.when((counts[k - 1] == most) & (most > 0), k).otherwise(out)
         return out
 
-    return votes.select("track_id", F.coalesce(best("_n"), best("_c"), F.lit(0)).cast("int").alias("g"))
+    of_class = F.lit(0)
+    for k, c in enumerate(CLASSES, 1):
+        of_class = F.when(F.col("kind") == k, GROUPS.index(GROUP_OF[c]) + 1).otherwise(of_class)
+    voted = votes.select("track_id", best("_g", len(GROUPS)).cast("int").alias("g"), best("_c", len(CLASSES)).cast("int").alias("kind"))
+    return voted.withColumn("g", F.when(F.col("g") > 0, F.col("g")).otherwise(of_class).cast("int"))
 
 
 # -- zones ---------------------------------------------------------------------------------------
@@ -285,7 +282,7 @@ def near_and_inside(points: DataFrame, clips: DataFrame, calibrations: DataFrame
     that arrived first. Empty tables give no rows; columns of other names are ignored.
     """
     origins = sized(calibrations.where(F.col("site").isNotNull()).groupBy("site").agg(F.max("origin_e").alias("_e"), F.max("origin_n").alias("_n")))
-    groups = cut_lineage(track_groups(points))
+    groups = cut_lineage(track_labels(points).select("track_id", "g"))
     rows = rows_that_count(with_fps(points, clips), ["clip", "site", "fps"], {"x": F.col("x"), "y": F.col("y")})
     rows = rows.join(origins, "site").where(F.sqrt(F.pow(F.col("x") - F.col("_e"), 2) + F.pow(F.col("y") - F.col("_n"), 2)) <= site_reach)
     rows = rows.where(~F.isnan("x") & ~F.isnan("y")).drop("_e", "_n")

@@ -51,13 +51,13 @@ def rows_that_count(points: DataFrame, keys: list[str], values: dict[str, Column
     return kept.groupBy("track_id", "frame", *keys).agg(*[F.min_by(n, "_came").alias(n) for n in names])
 
 
-def cut_slices(df: DataFrame, halo_s: float, slice_s: float = SLICE_S, back_only: bool = False) -> DataFrame:
+def cut_slices(df: DataFrame, halo_s: float, slice_s: float = SLICE_S) -> DataFrame:
     """df with slice and own: each row once in its own slice, and as a copy (own = false) in the
     slices within halo_s of it. Rows without fps are left out."""
     t = F.col("frame") / F.col("fps")
     own = F.floor(t / slice_s)
     into = t - own * slice_s
-    before = F.when(F.lit(not back_only) & (into <= halo_s), own - 1)
+    before = F.when(into <= halo_s, own - 1)
     after = F.when(slice_s - into <= halo_s, own + 1)
     near = F.array(F.struct(own.alias("slice"), F.lit(True).alias("own")), F.struct(before.alias("slice"), F.lit(False).alias("own")), F.struct(after.alias("slice"), F.lit(False).alias("own")))
     return df.where(F.col("fps") > 0).select("*", F.inline(F.filter(near, lambda s: s["slice"].isNotNull())))
