@@ -252,15 +252,15 @@ def normal_fit(tracks: DataFrame, keys: list[str]) -> DataFrame:
     return tracks.groupBy(*keys).agg(F.count("mean_speed").alias("n"), F.avg("mean_speed").alias("mean"), F.stddev_samp("mean_speed").alias("sd"))
 
 
-def implied_heights(boxes: DataFrame, ground: DataFrame, camera: dict[str, float], min_box_px: float = 25.0, enough: int = 30) -> DataFrame:
+def implied_heights(boxes: DataFrame, ground: DataFrame, min_box_px: float = 25.0, enough: int = 30) -> DataFrame:
     """AGG-11: heights of people that their boxes imply at their place, by five bands of distance.
 
-    ground: clip, track_id, frame, distance of the foot point. With a pinhole of focal length f a box
+    ground: clip, track_id, frame, distance of the foot point, f_px. With a pinhole of focal length f a box
     of h pixels at slant range d stands for h * d / f metres; implied heights of 0.3 .. 5 m count.
     """
     h = F.col("y2") - F.col("y1")
     b = boxes.where((~F.col("predicted")) & (F.col("class") == "person") & (h >= min_box_px)).join(ground, [*TRACK, "frame"])
-    b = b.withColumn("height", h * F.col("distance") / camera["f"]).where("height between 0.3 and 5")
+    b = b.withColumn("height", h * F.col("distance") / F.col("f_px")).where("height between 0.3 and 5")
     edges = F.when(F.col("distance") < 15, 0).when(F.col("distance") < 30, 1).when(F.col("distance") < 60, 2).when(F.col("distance") < 120, 3).otherwise(4)
     return b.groupBy(edges.alias("band")).agg(F.count("*").alias("n"), F.percentile("height", 0.5).alias("median_m"), (F.percentile("height", 0.75) - F.percentile("height", 0.25)).alias("iqr_m")).where(F.col("n") >= enough)
 
