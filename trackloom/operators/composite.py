@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wrap180
-from ..session import sized
+from ..session import cut_lineage, sized
 from . import field as V
 
 #: Order of the groups in a master field.
@@ -49,8 +49,11 @@ def enough_tracks(points: DataFrame, keys: list[str], least: int) -> DataFrame:
 def clip_fields(points: DataFrame, keys: list[str], cell: float, smooth: float, least: int = 3) -> DataFrame:
     """CMP-05: each clip's field on one grid per keys (site, group), of clips with enough tracks."""
     p = points.where(~F.col("pred"))
-    bounds = V.grid_bounds(p, keys, cell, 3 * smooth)
-    return V.smooth_field(enough_tracks(p, [*keys, "clip"], least), [*keys, "clip"], cell, smooth, F.col("dt"), bounds=bounds)
+    full = [*keys, "clip"]
+    # tracks are counted from a narrow table; the grid's bounds rest on all samples
+    good = cut_lineage(p.groupBy(*full).agg(F.count_distinct("track_id").alias("_t")).where(F.col("_t") >= least).select(*full, F.lit(True).alias("_in")))
+    p = p.join(sized(good), full, "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    return V.smooth_field(p, full, cell, smooth, F.col("dt"), bound_keys=keys)
 
 
 def continuous(fields: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,16 +83,15 @@ def agreement_pairs(fields: DataFrame, keys: list[str], agree_deg: float = 30.0)
 
 
 def master(points: DataFrame, keys: list[str], groups: list[str], cell: float, smooth: float) -> DataFrame:
-    """CMP-07: the pooled field, each group's columns beside it (outer join), and the group with most density.
+    """CMP-07: the pooled field, each group's columns beside it (as an outer join gives them), and the group with most density.
 
     Groups are in the given order, which breaks ties; dominant_group is '' where none has density.
     """
     p = points.where(~F.col("pred") & F.col("grp").isin(groups))
-    bounds = V.grid_bounds(p, keys, cell, 3 * smooth)
-    pooled = V.smooth_field(p, keys, cell, smooth, F.col("dt"), bounds=bounds).select(*keys, "i", "j", "vx", "vy", "speed", "density", "weight")
-    each = V.smooth_field(p, [*keys, "grp"], cell, smooth, F.col("dt"), bounds=bounds)
-    wide = each.groupBy(*keys, "i", "j").agg(*[F.max(F.when(F.col("grp") == g, F.col(c))).alias(f"{g}_{c}") for g in groups for c in ("vx", "vy", "speed", "density", "confidence", "weight")])
-    out = pooled.join(wide, [*keys, "i", "j"], "full")
+    # one pass for the pool, as group '', and the groups
+    both = V.smooth_field(p.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit("")))), [*keys, "grp"], cell, smooth, F.col("dt"), bound_keys=keys)
+    columns = ("vx", "vy", "speed", "density", "confidence", "weight")
+    out = both.groupBy(*keys, "i", "j").agg(*[F.max(F.when(F.col("grp") == g, F.col(c))).alias(f"{g}_{c}" if g else c) for g in ["", *groups] for c in columns])
     dens = [F.coalesce(f"{g}_density", F.lit(0.0)) for g in groups]
     most = F.greatest(*dens) if len(dens) > 1 else dens[0]
     name: Column = F.lit("")
@@ -150,12 +152,12 @@ def coverage(seen: DataFrame, durations: DataFrame, keys: list[str]) -> DataFram
 
 def density_in_view(occupied: DataFrame, covered: DataFrame, keys: list[str], cell: float, sigma: float = 1.5, least_s: float = 5.0) -> DataFrame:
     """CMP-09: blurred seconds of presence over blurred seconds in view, per square metre, where those are at
-    least least_s. occupied: keys, i, j, present_s; covered: keys, i, j, seen_s. The edge reflects."""
-    bounds = covered.groupBy(*keys).agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
-    a = V.blurred(occupied, keys, ["present_s"], sigma / cell, bounds, reflect=True)
-    b = V.blurred(covered.select(*keys, "i", "j", "seen_s"), keys, ["seen_s"], sigma / cell, bounds, reflect=True)
-    j = b.where(F.col("seen_s") >= least_s).join(a, [*keys, "i", "j"], "left")
-    return j.select(*keys, "i", "j", "seen_s", (F.coalesce("present_s", F.lit(0.0)) / F.col("seen_s") / (cell * cell)).alias("density"))
+    least least_s. occupied: keys, i, j, present_s, all of them in view; covered: keys, i, j, seen_s. The edge reflects."""
+    both = covered.select(*keys, "i", "j", "seen_s").join(occupied.select(*keys, "i", "j", "present_s"), [*keys, "i", "j"], "left")
+    w = Window.partitionBy(*keys)
+    both = both.withColumns({"i0": F.min("i").over(w), "i1": F.max("i").over(w), "j0": F.min("j").over(w), "j1": F.max("j").over(w), "present_s": F.coalesce("present_s", F.lit(0.0))})
+    b = V.blurred(both, keys, ["present_s", "seen_s"], sigma / cell, bounded=True, reflect=True)
+    return b.where(F.col("seen_s") >= least_s).select(*keys, "i", "j", "seen_s", (F.col("present_s") / F.col("seen_s") / (cell * cell)).alias("density"))
 
 
 def web_paths(points: DataFrame, near_m: float = 30.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lenient_bool, nan_to_null
 from ..operators.slices import clip_rates, rows_that_count
-from ..session import sized
+from ..session import cut_lineage, sized
 from ..sources.tables import table
 
 #: Names of the sources of a sample, by code.
@@ -52,7 +52,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     groups = table(spark, sf, "group_params").select(F.col("class").alias("cls"), F.col("group").alias("grp"))
     rows = rows.join(sized(origin), "site").join(sized(clip_rates(table(spark, sf, "clips"))), "clip").join(sized(strides), "clip")
     rows = rows.withColumn("x", F.col("x") - F.col("origin_e")).withColumn("y", F.col("y") - F.col("origin_n")).where("x * x + y * y <= 1000000.0")
-    rows = rows.join(sized(track_classes(raw)), "track_id").join(sized(groups), "cls")
+    rows = rows.join(sized(cut_lineage(track_classes(raw))), "track_id").join(sized(groups), "cls")
     source = F.get(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
     return rows.select("clip", "site", "track_id", "cls", "grp", "frame", (F.col("frame") / F.col("fps")).alias("t"), "x", "y", "vx", "vy", "speed", "heading", F.coalesce("predicted", F.lit(False)).alias("pred"), source.alias("source"), (F.col("_stride") / F.col("fps")).alias("dt"), "fps")
 

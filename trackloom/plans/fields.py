@@ -76,7 +76,7 @@ def fld01_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(POINTS, MEASURED, *field_sql(["clip"], "o", bounds_sql(["clip"], "o")), then=f"SELECT clip, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(s AS INTEGER) AS sector, CAST(w AS DOUBLE) AS w, {r('sx')} AS bx, {r('sy')} AS b_y FROM d"))
 def fld02_deposit(spark: SparkSession, sf: str) -> DataFrame:
-    return rnd(V.deposit(points(spark, sf).where("not pred"), ["clip"], CELL, 8))
+    return rnd(V.deposit(points(spark, sf).where("not pred"), ["clip"], CELL, 8).select("clip", "i", "j", "sector", "w", "bx", "b_y"))
 
 
 @query(sql(POINTS, MEASURED, f"ker AS ({_kernel(1.5)})", "c AS (SELECT clip, floor(x / 4.0) AS i, floor(y / 4.0) AS j, count(*) AS n FROM o GROUP BY ALL)", "c1 AS (SELECT clip, i + k AS i, j, sum(n * g) AS n FROM c, ker GROUP BY ALL)", then=f"SELECT clip, CAST(i AS BIGINT) AS i, CAST(j + k AS BIGINT) AS j, {r('sum(n * g)', 6)} AS n FROM c1, ker GROUP BY clip, i, j + k"))
@@ -89,7 +89,7 @@ def fld03_blurred(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql(POINTS, MEASURED, *field_sql(["clip"], "o", bounds_sql(["clip"], "o")), then=f"SELECT clip, i, j, CAST(s AS INTEGER) AS sector, {r('weight', 3)} AS weight FROM (SELECT clip, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, s, weight FROM n WHERE n = 1 AND weight >= 0.05)"))
 def fld04_directions(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf).where("not pred")
-    spread = V.blurred(V.deposit(p, ["clip"], CELL, 8), ["clip", "sector"], ["w"], SMOOTH / CELL, V.grid_bounds(p, ["clip"], CELL, 3 * SMOOTH), scale=2 * math.pi * (SMOOTH / CELL) ** 2)
+    spread = V.blurred(V.with_bounds(V.deposit(p, ["clip"], CELL, 8), ["clip"], CELL, 3 * SMOOTH), ["clip", "sector"], ["w"], SMOOTH / CELL, bounded=True, scale=2 * math.pi * (SMOOTH / CELL) ** 2)
     turn = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(m).alias("m")) for d, m in ((0, 1.0), (1, 0.5), (-1, 0.5))])
     mixed = spread.select("clip", "i", "j", "sector", "w", F.inline(turn)).groupBy("clip", "i", "j", F.pmod(F.col("sector") + F.col("d"), F.lit(8)).alias("sector")).agg(F.sum(F.when(F.col("d") == 0, F.col("w")).otherwise(0.0)).alias("own"), F.sum(F.col("w") * F.col("m")).alias("w"))
     best = mixed.groupBy("clip", "i", "j").agg(F.sum("own").alias("weight"), F.max_by("sector", F.struct(F.round("w", 9), -F.col("sector"))).alias("sector")).where("weight >= 0.05")
