@@ -137,8 +137,8 @@ def join_all(enc: tiktoken.Encoding, parts: list[Part]) -> list[int]:
 def encode_column(df: DataFrame, text: str, keys: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, block: int = BLOCK) -> DataFrame:
     """keys and ids (array<int>) of every row of df; null and empty texts have an empty list.
 
-    Long texts: their blocks are spread over all tasks by a row number and gathered per row, so a
-    group is one value of one row. keys must be columns of fixed types or strings.
+    Long texts: their blocks are spread over all tasks and gathered by a row number, so a group is one
+    value of one row. keys must be columns of fixed types or strings.
     """
     fields = list(df.select(*keys).schema.fields)
     ids_field = T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -158,19 +158,18 @@ def encode_column(df: DataFrame, text: str, keys: list[str], name: str = "byte_b
             ids = [enc.encode_ordinary(t) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_seq"), *[b.column(k) for k in keys], b.column("_text"), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "_seq", *keys, "_text", "ids"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(name, folder)
-        for b in batches:
-            ids = [join_all(enc, [Part(p["_text"], p["ids"]) for p in parts]) for parts in b.column("_parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(ids, pa.list_(pa.int32()))], names=[*keys, "ids"])
+    def joined(table: pa.Table) -> pa.Table:
+        # one text: what is in memory is bounded by the largest of them, not by a batch of many
+        table = table.sort_by("_seq")
+        ids = join_all(encoding(name, folder), [Part(t, i) for t, i in zip(table["_text"].to_pylist(), table["ids"].to_pylist())])
+        return pa.table([*[table[k].slice(0, 1) for k in keys], pa.array([ids], pa.list_(pa.int32()))], names=[*keys, "ids"])
 
     direct = kept.where(short).mapInArrow(whole, out)
     long = kept.where(~short).withColumn("_row", F.monotonically_increasing_id())
     pieces = long.select("_row", *keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / block).cast("int")), lambda i: F.col("_text").substr(i * block + 1, F.lit(block)))).alias("_seq", "_text"))
     coded_schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_seq", T.IntegerType()), *fields, T.StructField("_text", T.StringType()), ids_field])
     coded = pieces.repartition("_row", "_seq").mapInArrow(blocks, coded_schema)
-    gathered = coded.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], F.array_sort(F.collect_list(F.struct("_seq", "_text", "ids"))).alias("_parts"))
-    return direct.unionByName(gathered.select(*keys, "_parts").mapInArrow(joined, out))
+    return direct.unionByName(coded.groupBy("_row").applyInArrow(joined, out))
 
 
 def document_ids(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, block: int = BLOCK) -> DataFrame:
