@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, sized
 from .tokens import TOKENIZERS, encode_column
 
-#: Parts into which the items of one length are split to be numbered.
-SALTS = 64
+#: Parts into which the items of one length are split to be numbered, at least, and texts per part where there are many.
+SALTS, PER_SALT = 64, 200_000
 
 
 def _exact(gap: int, left: np.ndarray) -> list[int] | None:
@@ -199,7 +199,7 @@ def packed_documents(documents: DataFrame, pack_sizes: DataFrame, folder: str =
         each = sizes.select(F.col("doc_id").alias("key"), F.col("length").alias("total"), F.inline(table))
         cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("total") / F.col("capacity")).cast("long") - 1, F.lit(0).cast("long")))))
         items = cut.select("pack_id", "key", "piece", F.least(F.col("total") - F.col("piece") * F.col("capacity"), F.col("capacity")).alias("length"))
-        placed = pack_items(items, mine)
+        placed = pack_items(items, mine, max(SALTS, sizes.count() // PER_SALT))
         capacity = F.lit(0).cast("long")
         for p, c in mine.items():
             capacity = F.when(F.col("pack_id") == p, c).otherwise(capacity)

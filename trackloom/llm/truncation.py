@@ -29,6 +29,8 @@ TERMINAL = ".!?;。！？；"
 CLOSERS = "\"'”’»)]}*_`~"
 #: Marks that show where something was cut or trails off; what precedes them decides.
 TRAILING = re.compile(r"(?:\s*(?:\.{2,}|…+|\[(?:…|\.\.\.|truncated|more|cut)\]|\((?:…|\.\.\.|truncated|more|cut)\)|-{2,}>|>>+|→))+\s*$", re.IGNORECASE)
+#: Where data in braces begins.
+OBJECT = re.compile(r"(?:\[\s*)?\{\s*\"[^\"\n]{1,60}\"\s*:")
 #: Texts of at most so many characters are whole unless their last word is cut off a longer text's.
 SHORT = 24
 #: Least number of texts with unlike contents, not at a sharp limit, that end in a line for it to be a closing one, and least share of all.
@@ -110,7 +112,8 @@ def word_runs(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.nd
     for text in texts:
         if not text:
             continue
-        lines = [x for x in text.splitlines() if x.strip()]
+        # a trailing mark belongs to the text's own end
+        lines = [x for x in TRAILING.sub("", text.rstrip()).splitlines() if x.strip()]
         tokens: list[str] = []
         stop: list[bool] = []
         for line in lines:
@@ -150,10 +153,12 @@ def word_runs(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.nd
 
 def _structure(text: str) -> str:
     """'open' if the text is data or code that isn't closed, 'closed' if it is, else ''."""
-    body = text.strip()
-    if body[:1] in "{[" and (body[1:2] in "\"{[ \n\r\t}]") and not re.match(r"\[[ xX]\] ", body):
+    body = text.strip(" \t\r\n\ufeff\u200b")
+    start = OBJECT.search(body)
+    if start:
         depth, quoted, skip = [], False, False
-        for c in body:
+        end = len(body)
+        for n, c in enumerate(body[start.start() :], start.start()):
             if skip:
                 skip = False
             elif quoted:
@@ -166,16 +171,14 @@ def _structure(text: str) -> str:
             elif c in "{[":
                 depth.append(c)
             elif c in "}]":
-                if not depth:
-                    return ""
                 depth.pop()
                 if not depth:
+                    end = n + 1
                     break
         if depth or quoted:
             return "open"
-        if body[-1:] in "}]":
+        if not body[end:].strip(" \t\r\n;,]"):
             return "closed"
-        return ""
     if body.count("```") % 2:
         return "open"
     if body.endswith("```"):
@@ -212,7 +215,7 @@ def ending(text: str | None) -> tuple[str, list[str], str, str]:
     # the last phrase: the last line, or what follows the last sentence in it
     parts = re.split(r"(?<=[.!?。！？])\s+", lines[-1].strip().rstrip("."))
     alone = len(parts) == 1 and len(lines) > 1
-    signed = alone and 0 < len(lines[-2].strip()) <= SIGNED
+    signed = alone and 0 < len(lines[-2].strip()) <= SIGNED and lines[-2].strip()[-1] not in TERMINAL + CLOSERS
     phrase = "\n" * alone + (f"\n{lines[-2].strip()}\n" if signed else "") + parts[-1]
     phrase = re.sub(r"\d+", "0", phrase.lower())
     before = bare[: max(0, len(bare) - len(parts[-1]) - 1)][-40:]
