@@ -187,7 +187,7 @@ def _structure(text: str) -> str:
     if len(lines) >= 2:
         for mark in (",", "\t", "|"):
             counts = [x.count(mark) for x in lines]
-            if counts[0] >= 2 and ", " not in lines[0] and (len(lines) == 2 or counts[-2] == counts[0]) and counts[-1] < counts[0] and all(c == counts[0] for c in counts[:-1]):
+            if counts[0] >= 2 and ", " not in lines[0] and (counts[-2] == counts[0] if len(lines) > 2 else mark != "\t") and counts[-1] < counts[0] and all(c == counts[0] for c in counts[:-1]):
                 return "open"
     return ""
 
