@@ -26,3 +26,13 @@ def lenient_bool(c: Column) -> Column:
 def nan_to_null(c: Column) -> Column:
     """NaN means missing."""
     return F.when(~F.isnan(c), c)
+
+
+def ramp(c: Column, lo: float, hi: float, stops: list[tuple[float, float, float]]) -> Column:
+    """Colour of a value between evenly spaced stops, linear between them: an array of three."""
+    n = len(stops) - 1
+    place = clip_to((c - lo) / max(hi - lo, 1e-9), 0.0, 1.0) * n
+    k = F.least(F.floor(place), F.lit(n - 1)).cast("int")
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in stops])
+    a, b = F.get(table, k), F.get(table, k + 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get(a, i) + (place - k) * (F.get(b, i) - F.get(a, i)))

@@ -278,3 +278,51 @@ def smoothed_registration(matrices: DataFrame, value: str, half: int = 3, sigma:
 def place_camera(place: dict, floor: float, floor_m: float = 3.1, eye_m: float = 1.5) -> dict:
     """CAL-23: a camera's position from a place and the floor it stands on."""
     return {"E": float(place["E"]), "N": float(place["N"]), "height_m": floor * floor_m + eye_m, "position_tol_m": 15.0, "height_tol_m": floor_m}
+
+
+def reports(fitted: DataFrame, warn_m: float = 0.5) -> DataFrame:
+    """CAL-03: per fit a line of text and its warnings: few clicks, dropped clicks, large errors."""
+    warnings = F.array_compact(F.array(
+        F.when(F.col("n") < 6, "fewer than six clicks"), F.when(F.col("inliers") < F.col("n"), F.concat((F.col("n") - F.col("inliers")).cast("string"), F.lit(" clicks left out"))), F.when(F.col("rmse_m") > warn_m, "large error"), F.when(F.col("h").isNull(), "no fit")
+    ))
+    text = F.format_string("%d of %d clicks, rmse %.3f m, largest %.3f m", "inliers", "n", F.coalesce("rmse_m", F.lit(0.0)), F.coalesce("max_m", F.lit(0.0)))
+    return fitted.withColumn("report", text).withColumn("warnings", F.array_join(warnings, "; "))
+
+
+def calibrated(px: np.ndarray, world: np.ndarray, size: tuple[int, int], prior: np.ndarray, outlier_m: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """CAL-07: the physical camera fitted to all clicks, then again without those whose ground error is beyond
+    max(outlier_m, 3 x median), as long as six remain. Gives the parameters and which clicks count."""
+    p, _ = fit_camera(px, world, size, prior)
+    h = np.linalg.inv(_camera_from(float(np.exp(p[0])), p[1:], size))
+    e = np.hypot(*(project(h, px) - world).T)
+    keep = e <= max(outlier_m, 3 * float(np.median(e)))
+    if keep.all() or keep.sum() < 6:
+        return p, np.ones(len(px), bool)
+    return fit_camera(px[keep], world[keep], size, p)[0], keep
+
+
+def people_fit(heights: DataFrame, keys: list[str], scales: list[float], true_m: float = 1.70, enough: int = 30) -> DataFrame:
+    """CAL-12, the scale: per keys the factor on distances at which people are as tall as they are in every band.
+
+    heights: keys, band, height (implied). The cost of a factor is the mean over bands with enough rows of the
+    deviation of their median from true_m; candidates are a short array per band, ties go to the smaller change.
+    """
+    b = heights.groupBy(*keys, "band").agg(F.percentile("height", 0.5).alias("m"), F.count("*").alias("n")).where(F.col("n") >= enough)
+    c = b.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    g = c.groupBy(*keys, "scale").agg(F.avg(F.abs(F.col("m") * F.col("scale") - true_m)).alias("cost"), F.count("*").alias("bands"))
+    return g.groupBy(*keys).agg(F.min(F.struct(F.round("cost", 9), F.abs(F.col("scale") - 1), "scale", "bands")).alias("b")).select(*keys, F.col("b.scale").alias("scale"), F.col("b.bands").alias("bands"), F.col("b.col1").alias("cost_m"))
+
+
+def ladder(facts: DataFrame) -> DataFrame:
+    """CAL-15: which calibration a site gets. facts: same_spot (a sibling's calibration fits), clicks, vehicle_tracks,
+    people_tracks. In order: transfer; with four clicks or more the method of least held-out error; roads; people;
+    else none."""
+    way = F.when(F.col("same_spot"), "transfer").when(F.col("clicks") >= 4, "held-out choice").when(F.col("vehicle_tracks") >= 5, "roads").when((F.col("people_tracks") >= 5) & (F.col("clicks") >= 2), "people and clicks").otherwise("none")
+    return facts.withColumn("way", way)
+
+
+def terrain_datum(ground: DataFrame, terrain: DataFrame, left: float, top: float, res: float, keys: list[str]) -> DataFrame:
+    """CAL-16: median ground height under the lower half of the picture. ground: keys, x, y of its pixels."""
+    from .ground import with_elevation
+
+    return with_elevation(ground, terrain, left, top, res).where("z is not null").groupBy(*keys).agg(F.percentile("z", 0.5).alias("datum_m"), F.count("*").alias("n"))

@@ -158,7 +158,10 @@ def prv02_held_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(B.blur_boxes(boxes(spark, sf), 3), 3)
 
 
-@query()
+_PAIRS = "pr AS (SELECT a.clip, a.frame, a.track_id AS s, o.track_id AS e FROM b a JOIN b o ON o.clip = a.clip AND o.frame = a.frame AND o.track_id <> a.track_id AND least(a.x2, o.x2) > greatest(a.x1, o.x1) AND least(a.y2, o.y2) > greatest(a.y1, o.y1))"
+
+
+@query("WITH RECURSIVE " + BOXES + ", " + _PAIRS + ", w AS (SELECT clip, frame, track_id, track_id AS c FROM b UNION SELECT w.clip, w.frame, pr.e, w.c FROM w JOIN pr ON pr.clip = w.clip AND pr.frame = w.frame AND pr.s = w.track_id) SELECT clip, frame, track_id, min(c) AS component FROM w GROUP BY ALL")
 def prv03_overlap_groups(spark: SparkSession, sf: str) -> DataFrame:
     return B.overlap_groups(boxes(spark, sf))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rounded
 from ..operators import calibrate as C
 from ..operators import ground as G
+from ..operators.field import kernel
 from ..sources.tables import table
 from .aggregates import EDGES, SEG, SEGU, rnd, zone_edges
 from .base import POINTS, points, r, sql
@@ -83,7 +84,12 @@ def cal10_road_residuals(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("site", rounded(F.col("road_m"), 3).alias("road_m"), rounded(F.col("log_speed"), 3).alias("log_speed"), rounded(F.col("direction_deg"), 1).alias("direction_deg"))
 
 
-@query()
+_GRID = ["cd AS (SELECT site, track_id, frame, tt::DOUBLE AS turn, ss::DOUBLE AS scale, ss * (x * cos(radians(tt)) - y * sin(radians(tt))) AS x, ss * (x * sin(radians(tt)) + y * cos(radians(tt))) AS y FROM p, (VALUES (-4.0), (0.0), (4.0)) a(tt), (VALUES (0.95), (1.0), (1.05)) b(ss) WHERE grp = 'vehicles')",
+         f"dd AS (SELECT site, track_id, frame, turn, scale, min({SEG.format(x='x', y='y')}) AS d FROM (SELECT cd.*, e.ax, e.ay, e.ex, e.ey, {SEGU.format(x='x', y='y')} AS u FROM cd JOIN e ON e.site = cd.site AND e.kind = 'roadway') GROUP BY ALL)",
+         "cm AS (SELECT site, turn, scale, round(avg(d), 6) AS cost FROM dd GROUP BY ALL)"]
+
+
+@query(sql(POINTS, EDGES, *_GRID, then=f"SELECT site, turn, scale, {r('cost')} AS cost_m FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY cost, abs(turn), abs(scale - 1), turn, scale) AS n FROM cm) WHERE n = 1"))
 def cal11_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(C.grid_search(points(spark, sf).where("grp = 'vehicles'").select("site", "x", "y"), zone_edges(spark, sf, "roadway"), ["site"], [-4.0, 0.0, 4.0], [0.95, 1.0, 1.05]), 4)
 
@@ -109,7 +115,41 @@ def cal20_drift(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(C.drift(m, F.lit(1920.0), F.lit(1080.0)), 6)
 
 
-@query()
+_TAPS = " + ".join(f"coalesce({'lead' if k > 0 else 'lag'}(v, {abs(k)}) OVER w, 0.0) * {g!r}" if k else f"v * {g!r}" for k, g in kernel(1.5) if abs(k) <= 3)
+_MASS = " + ".join(f"CASE WHEN {'lead' if k > 0 else 'lag'}(v, {abs(k)}) OVER w IS NOT NULL THEN {g!r} ELSE 0.0 END" if k else f"{g!r}" for k, g in kernel(1.5) if abs(k) <= 3)
+
+
+@query(sql("a AS (SELECT clip, f AS frame, CASE WHEN f <= 45 THEN sin(5 * floor(f / 5) / 10.0) + (f % 5) / 5.0 * (CASE WHEN f < 45 THEN sin(5 * (floor(f / 5) + 1) / 10.0) ELSE sin(4.5) END - sin(5 * floor(f / 5) / 10.0)) ELSE sin(4.5) END AS v FROM clips, range(0, 50) t(f))", then=f"SELECT clip, frame, {r(f'({_TAPS}) / ({_MASS})', 6)} AS dx FROM a WINDOW w AS (PARTITION BY clip ORDER BY frame)"))
 def cal18_smoothed_registration(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "clips").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("frame"))
     return rnd(C.smoothed_registration(f.withColumn("dx", F.when(F.col("frame") % 5 == 0, F.sin(F.col("frame") / 10.0))), "dx"), 6)
+
+
+@query()
+def cal03_reports(spark: SparkSession, sf: str) -> DataFrame:
+    return C.reports(C.fits(clicks(spark, sf), ["site"])).select("site", "report", "warnings")
+
+
+_HGT = "hh AS (SELECT grp AS clip, CASE WHEN t < 60 THEN 0 WHEN t < 120 THEN 1 ELSE 2 END AS band, 1.5 + 0.01 * (frame % 30) AS height FROM p)"
+
+
+@query(sql(POINTS, _HGT, "bb AS (SELECT clip, band, quantile_cont(height, 0.5) AS m FROM hh GROUP BY ALL HAVING count(*) >= 30)", "cc AS (SELECT clip, s::DOUBLE AS scale, round(avg(abs(m * s - 1.70)), 9) AS cost, count(*) AS bands FROM bb, (VALUES (0.9), (1.0), (1.1), (1.2)) t(s) GROUP BY ALL)", then=f"SELECT clip AS grp, scale, bands, {r('cost', 6)} AS cost_m FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY cost, abs(scale - 1), scale) AS n FROM cc) WHERE n = 1"))
+def cal12_people_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up heights, by stretches of time in place of distance."""
+    h = points(spark, sf).select("grp", F.when(F.col("t") < 60, 0).when(F.col("t") < 120, 1).otherwise(2).alias("band"), (1.5 + 0.01 * (F.col("frame") % 30)).alias("height"))
+    return rnd(C.people_fit(h, ["grp"], [0.9, 1.0, 1.1, 1.2]), 6)
+
+
+@query(sql(POINTS, "n AS (SELECT site, count(DISTINCT CASE WHEN grp = 'vehicles' THEN track_id END) AS v, count(DISTINCT CASE WHEN grp = 'people' THEN track_id END) AS q FROM p GROUP BY site)", then="SELECT site, CASE WHEN hash_k = 0 THEN 'transfer' WHEN hash_k > 3 THEN 'held-out choice' WHEN v >= 5 THEN 'roads' WHEN q >= 5 AND hash_k >= 2 THEN 'people and clicks' ELSE 'none' END AS way FROM (SELECT n.*, length(site) % 5 AS hash_k FROM n)"))
+def cal15_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    n = p.groupBy("site").agg(F.count_distinct(F.when(F.col("grp") == "vehicles", F.col("track_id"))).alias("vehicle_tracks"), F.count_distinct(F.when(F.col("grp") == "people", F.col("track_id"))).alias("people_tracks"))
+    k = F.length("site") % 5
+    return C.ladder(n.withColumn("clicks", k).withColumn("same_spot", k == 0)).select("site", "way")
+
+
+@query(sql(POINTS, "z AS (SELECT site, 5.0 + 0.01 * (x + 199.5) + 0.02 * (199.5 - y) AS z FROM p WHERE floor(x + 199.5) >= 0 AND floor(x + 199.5) < 399 AND floor(199.5 - y) >= 0 AND floor(199.5 - y) < 399)", then=f"SELECT site, {r('quantile_cont(z, 0.5)', 3)} AS datum_m, count(*) AS n FROM z GROUP BY site"))
+def cal16_terrain_datum(spark: SparkSession, sf: str) -> DataFrame:
+    from .ground_queries import terrain
+
+    return rnd(C.terrain_datum(points(spark, sf).select("site", "x", "y"), terrain(spark), -200.0, 200.0, 1.0, ["site"]), 3)

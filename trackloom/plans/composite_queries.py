@@ -170,7 +170,10 @@ def kit03_largest_two(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(K.largest(K.kit_modules(kit(spark, sf), ["clip"])), 3)
 
 
-@query()
+_DRAW = ["wd0 AS (SELECT clip, i, j, sqrt(greatest(density, 0.0)) * confidence AS w FROM f)", "wd1 AS (SELECT *, sum(w) OVER (PARTITION BY clip ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY clip) AS b, w / sum(w) OVER (PARTITION BY clip) AS q FROM wd0)"]
+
+
+@query(sql(POINTS, *_FIELD, *_DRAW, then="SELECT clip, i, j, CAST(floor(b * 1000 + 0.5 + 1e-9) - floor((b - q) * 1000 + 0.5 + 1e-9) AS BIGINT) AS drawn FROM wd1 WHERE floor(b * 1000 + 0.5 + 1e-9) - floor((b - q) * 1000 + 0.5 + 1e-9) > 0"))
 def kit04_weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
     f = V.smooth_field(points(spark, sf), ["clip"], CELL, SMOOTH, F.col("dt"))
     return K.weighted_draw(f, 1000, ["clip"]).select("clip", "i", "j", "drawn")

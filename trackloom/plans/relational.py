@@ -166,3 +166,11 @@ def fun_arrays(spark: SparkSession, sf: str) -> DataFrame:
 def rel_sessions(spark: SparkSession, sf: str) -> DataFrame:
     e = timed_table(spark, sf, "events")
     return e.groupBy("user_id", F.session_window("ts", "21601 seconds")).agg(F.count("*").alias("n"), F.min("ts").cast("timestamp_ntz").alias("start_at")).drop("session_window")
+
+
+@query(sql(POINTS, "q AS (SELECT clip, track_id, frame, least(greatest((speed - 0.0) / 10.0, 0.0), 1.0) * 2 AS z FROM p WHERE speed IS NOT NULL)", "k AS (SELECT *, least(floor(z), 1) AS k FROM q)", then="SELECT clip, track_id, frame, " + r("CASE k WHEN 0 THEN 20.0 + z * 180.0 ELSE 200.0 + (z - 1) * 50.0 END", 3) + " AS red FROM k"))
+def fun_colour_ramp(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import ramp
+
+    p = points(spark, sf).where("speed is not null")
+    return rnd(p.select("clip", "track_id", "frame", F.get(ramp(F.col("speed"), 0.0, 10.0, [(20.0, 0.0, 90.0), (200.0, 80.0, 60.0), (250.0, 240.0, 120.0)]), F.lit(0)).alias("red")), 3)
