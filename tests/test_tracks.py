@@ -68,6 +68,21 @@ def test_one_endless_track_is_cut_and_joined(spark, clips):
     assert abs(sum(t.distance_m for t in trips) / (1.4 * (6000 - 2200)) - 1) < 0.2
 
 
+def test_stops_side_by_side(spark, clips):
+    """Creeping back and forth about several spots: every stop stays within reach of its spot, and none overlap."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        x = 0.0
+        for f in range(0, 6000, 5):
+            x += 0.1 * math.sin(f / (150.0 + 20 * k)) + rng.normal(0, 0.05)
+            rows.append(row(k, f, float(x), float(20 * math.cos(f / 900.0)), 0.1))
+    got = stops_and_trips(spark.createDataFrame(rows, POINTS), clips).orderBy("track_id", "start_s").collect()
+    for a, b in itertools.pairwise(got):
+        assert a.track_id != b.track_id or a.end_s <= b.start_s + 1e-9
+    assert all(r.duration_s >= 20 for r in got if r.kind == "stop")
+
+
 def hostile():
     return [row(None, 5, 1.0, 1.0), row(1, None, 1.0, 1.0), row(9, 5, None, None), row(9, 10, math.nan, 1.0, math.nan, None, None), row(8, 5, 1.0, 1.0, None, None, None, None), row(8, 5, 1.0, 1.0, None, None, None, None), row(7, 5, 1.0, 1.0, clip=None, site=None), row(6, 5, 2.0, 2.0, clip="unknown")]
 

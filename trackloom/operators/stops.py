@@ -24,6 +24,8 @@ from .slices import cut_slices, map_slices, rows_that_count, starts_of, with_fps
 
 BIN_S = 2.0
 HALO_S = 90.0
+#: Rows by which a decoded stop may grow at either end.
+REACH = 400
 
 PIECES = "track_id bigint, kind string, start_s double, end_s double, cx double, cy double, distance_m double, n_rows bigint"
 
@@ -147,8 +149,12 @@ def slice_pieces(rows: dict[str, np.ndarray], radius_m: float, min_stop_s: float
                 cx, cy = np.median(lx[s:e]), np.median(ly[s:e])
                 found.pop()
             else:
+                # rows that the stop before took in stay with it
                 lo = p[1]
-        a, b = max(lo, s - 60), min(hi, e + 60)
+                s = max(s, lo)
+                if s >= e:
+                    continue
+        a, b = max(lo, s - REACH), min(hi, e + REACH)
         near = np.hypot(lx[a:b] - cx, ly[a:b] - cy) <= radius_m
         # outermost rows: walk out from the segment while rows, but for single ones, stay near
         i, j = s - a, e - a - 1
