@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, sized
 
 TOKEN = re.compile(r"\d{1,2}:\d{2}(?::\d{2})?(?!\d)|[^\W\d_]+\d+|\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|\S")
+SPACED = re.compile(rf"({TOKEN.pattern})(\s*)")
+LINE = re.compile("[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
+#: Kinds of tokens, as bits.
+NAMELIKE, ENDS, ENDS_ALONE, BETWEEN, CLOSES = 1, 2, 4, 8, 16
 TERMINAL = ".!?;。！？；"
 CLOSERS = "\"'”’»)]}*_`~"
 #: Marks that show where something was cut or trails off; what precedes them decides.
@@ -53,52 +57,64 @@ CONTRARY = 20
 P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def without_mark(text: str) -> str:
+    """text without the marks at its end, which are looked for in its last characters."""
+    return text[:-80] + TRAILING.sub("", text[-80:])
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
 class _Words:
-    """Hashes of tokens, as a last word and as context; numbers and, in context within a sentence, names lose their identity."""
+    """Hashes and kinds of tokens; numbers and, in context within a sentence, names lose their identity."""
 
-    NAME = _hash("<name>")
+    NAME, BREAK = np.uint64(_hash("<name>")), np.uint64(_hash("\n"))
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, bool]] = {}
+        self.hashes: dict[str, int] = {}
+        self.kinds: dict[str, int] = {}
 
     def add(self, token: str) -> None:
+        kind = 0
         if token[0].isdigit():
-            self.known[token] = (_hash("#:##" if ":" in token else "#"), False)
+            h = _hash("#:##" if ":" in token else "#")
         elif token[-1].isdigit():
             # a code: letters and as many digits
-            self.known[token] = (_hash(re.sub(r"\d", "0", token)), False)
+            h = _hash(re.sub(r"\d", "0", token))
         else:
-            self.known[token] = (_hash(token.lower()), token[:1].isupper() and token[1:2].islower())
-
-    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        for t in set(tokens):
-            if t not in self.known:
-                self.add(t)
+            h = _hash(token.lower())
+            kind = NAMELIKE * (token[:1].isupper() and token[1:2].islower()) + ENDS * (token in TERMINAL) + ENDS_ALONE * (token in "。！？") + BETWEEN * (token in "/|") + CLOSES * (token in CLOSERS)
+        self.hashes[token], self.kinds[token] = h, kind
+
+    def of(self, tokens: list[str], broken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes as a last word and as context, and kinds. broken: whether a line begins with the token."""
+        if len(self.hashes) > 500_000:
+            self.hashes.clear()
+            self.kinds.clear()
+        for t in set(tokens).difference(self.hashes):
+            self.add(t)
         n = len(tokens)
-        got = [self.known[t] for t in tokens]
-        last = np.fromiter((g[0] for g in got), np.uint64, n)
-        name = np.fromiter((g[1] for g in got), bool, n)
-        first = np.fromiter((t == "\n" or t in TERMINAL for t in tokens), bool, n)
-        name[1:] &= ~first[:-1]
+        last = np.fromiter(map(self.hashes.__getitem__, tokens), np.uint64, n)
+        kind = np.fromiter(map(self.kinds.__getitem__, tokens), np.int8, n)
+        name = (kind & NAMELIKE > 0) & ~broken
+        name[1:] &= kind[:-1] & ENDS == 0
         name[:1] = False
-        return last, np.where(name, np.uint64(self.NAME), last)
-
-
-def _runs(last: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the runs of one, two and three tokens that end at each token; missing context is 0."""
-    one = last.copy()
-    c1 = np.concatenate((np.zeros(1, np.uint64), context[:-1]))
-    c2 = np.concatenate((np.zeros(2, np.uint64), context[:-2]))[: len(last)]
+        return last, np.where(name, self.NAME, last), kind
+
+
+def _runs(last: np.ndarray, context: np.ndarray, broken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the runs of one, two and three tokens that end at each token; a line break counts as a token, missing
+    context is 0."""
+    zero = np.zeros(1, np.uint64)
+    b1 = np.concatenate((zero, context))[: len(last)]
+    b2 = np.concatenate((zero, zero, context))[: len(last)]
+    before = np.concatenate((np.zeros(1, bool), broken))[: len(last)]
+    c1 = np.where(broken, _Words.BREAK, b1)
+    c2 = np.where(broken, b1, np.where(before, _Words.BREAK, b2))
     with np.errstate(over="ignore"):
-        two = one * P2 + c1 + np.uint64(1)
-        three = two * P3 + c2 + np.uint64(2)
-    return one, two, three
+        two = last * P2 + c1 + np.uint64(1)
+        return last, two, two * P3 + c2 + np.uint64(2)
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -113,32 +129,32 @@ def word_runs(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.nd
         if not text:
             continue
         # a trailing mark belongs to the text's own end
-        lines = [x for x in TRAILING.sub("", text.rstrip()).splitlines() if x.strip()]
-        tokens: list[str] = []
-        stop: list[bool] = []
-        for line in lines:
-            got = [(m.group(), m.end()) for m in TOKEN.finditer(line)]
-            n = len(got)
-            for k, (token, end) in enumerate(got):
-                nxt = got[k + 1][0] if k + 1 < n else None
-                # a sentence ends where terminal punctuation is followed by blank or the line's end
-                closing = nxt is not None and nxt in TERMINAL and (k + 2 >= n or line[got[k + 1][1] : got[k + 1][1] + 1].isspace() or nxt in "。！？")
-                tokens.append(token)
-                stop.append(nxt is None or closing or (nxt in "/|" and line[end : end + 1].isspace()))
-            tokens.append("\n")
-            stop.append(False)
-        if len(tokens) < 2:
+        pairs = SPACED.findall(without_mark(text.strip()))
+        n = len(pairs)
+        if n < 2:
             continue
-        last, context = words.of(tokens)
-        end = np.array(stop)
-        keep = np.array([t != "\n" and not (t in TERMINAL) for t in tokens])
+        tokens, gaps = map(list, zip(*pairs))
+        spaced = np.fromiter(map(bool, gaps), bool, n)
+        ahead = np.zeros(n, bool)
+        # few gaps are more than one blank
+        for k in [k for k, g in enumerate(gaps) if g != " " and g and LINE.search(g)]:
+            ahead[k] = True
+        spaced[-1] = ahead[-1] = True
+        broken = np.concatenate((np.zeros(1, bool), ahead[:-1]))
+        last, context, kind = words.of(tokens, broken)
+        terminal = (kind & ENDS > 0) & (spaced | (kind & ENDS_ALONE > 0))
+        end = ahead.copy()
+        # a sentence ends where terminal punctuation is followed by blank or the line's end
+        end[:-1] |= terminal[1:] & ~ahead[:-1]
+        end[:-1] |= (kind[1:] & BETWEEN > 0) & spaced[:-1] & ~ahead[:-1]
+        keep = kind & ENDS == 0
         # the text's own end, with what closes it, is no evidence
-        k = len(tokens) - 2
+        k = n - 1
         keep[k] = False
-        while k > 0 and (tokens[k] in TERMINAL or tokens[k] in CLOSERS):
+        while k > 0 and kind[k] & (ENDS | CLOSES):
             k -= 1
             keep[k] = False
-        for run in _runs(last, context):
+        for run in _runs(last, context, broken):
             keys.append(run[keep])
             ends.append(end[keep])
     if not keys:
@@ -207,7 +223,7 @@ def ending(text: str | None) -> tuple[str, list[str], str, str]:
         return ("cut" if structure == "open" else "whole"), [], "", ""
     while body and (0x2600 <= ord(body[-1]) <= 0x27BF or ord(body[-1]) >= 0x1F000 or ord(body[-1]) in (0xFE0F, 0x200D)):
         body = body[:-1].rstrip()
-    bare = TRAILING.sub("", body)
+    bare = without_mark(body)
     marked = bare != body
     plain = bare.rstrip(CLOSERS + " ") if not marked else bare
     ended = bool(plain) and plain[-1] in TERMINAL
@@ -251,8 +267,10 @@ def _endings(documents: DataFrame) -> DataFrame:
                 size.append(len((t or "").encode("utf-8", "surrogatepass")))
                 if tokens and verdict.endswith("ask"):
                     # a line's first words have the line break before them, as in word_runs
-                    last, context = words.of((["\n"] if len(tokens) < 4 else []) + tokens)
-                    keys.append([int(_signed(r[-1:])[0]) for r in _runs(last, context)])
+                    broken = np.zeros(len(tokens), bool)
+                    broken[0] = len(tokens) < 4
+                    last, context, _ = words.of(tokens, broken)
+                    keys.append([int(_signed(r[-1:])[0]) for r in _runs(last, context, broken)])
                 else:
                     keys.append([])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(verdicts), pa.array(keys, pa.list_(pa.int64())), pa.array(phrases, pa.int64()), pa.array(befores, pa.int64()), pa.array(number), pa.array(tiny), pa.array(alone, pa.int32())], names=["doc_id", "source", "chars", "bytes", "verdict", "keys", "phrase", "before", "number", "tiny", "alone"])
