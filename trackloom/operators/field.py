@@ -97,14 +97,15 @@ def smooth_field(points: DataFrame, keys: list[str], cell: float = 1.0, smooth:
         mixed = mixed.groupBy(*keys, "_dt", "i", "j", "sector").agg(F.sum("own").alias("own"), *[F.sum(F.col(v) * F.col("_m")).alias(v) for v in ("w", "bx", "b_y")])
     else:
         mixed = spread.withColumn("own", F.col("w"))
-    # weights that differ by rounding alone are ties
-    best = F.struct(F.round("w", 9), -F.col("sector"))
-    out = mixed.groupBy(*keys, "_dt", "i", "j").agg(F.sum("own").alias("weight"), F.max_by(F.struct("w", "bx", "b_y"), best).alias("b")).where(F.col("weight") >= min_weight)
-    out = out.withColumn("vx", F.col("b.bx") / F.col("b.w")).withColumn("vy", F.col("b.b_y") / F.col("b.w"))
+    # one number orders by weight, then by sector, so that the aggregate hashes fixed-width buffers; weights that
+    # differ by rounding alone are ties
+    best = F.round(F.col("w") * 1e6).cast("long") * max(sectors, 1) - F.col("sector")
+    out = mixed.groupBy(*keys, "_dt", "i", "j").agg(F.sum("own").alias("weight"), *[F.max_by(c, best).alias(f"_{c}") for c in ("w", "bx", "b_y")]).where(F.col("weight") >= min_weight)
+    out = out.withColumn("vx", F.col("_bx") / F.col("_w")).withColumn("vy", F.col("_b_y") / F.col("_w"))
     return out.select(
         *keys, "i", "j", ((F.col("i") + 0.5) * cell).alias("cell_x"), ((F.col("j") + 0.5) * cell).alias("cell_y"), "vx", "vy", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2).alias("speed"),
         heading_of(F.col("vx"), F.col("vy")).alias("heading"), (F.col("weight") / area * F.col("_dt") / (cell * cell)).alias("density"), "weight",
-        (1 - F.exp(-F.col("weight") / max(confidence_samples, 1e-9))).alias("confidence"), F.least(F.col("b.w") / (F.col("weight") + 1e-12), F.lit(1.0)).alias("dominance"),
+        (1 - F.exp(-F.col("weight") / max(confidence_samples, 1e-9))).alias("confidence"), F.least(F.col("_w") / (F.col("weight") + 1e-12), F.lit(1.0)).alias("dominance"),
     )
 
 
