@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip_to, cross_side, heading_of, segment_distance
+from ..session import sized
 
 TRACK = ["clip", "track_id"]
 
@@ -89,7 +90,7 @@ def crossings(points: DataFrame, lines: DataFrame, keys: list[str] = TRACK) -> D
     """
     w = Window.partitionBy(*keys).orderBy("frame")
     steps = points.select("site", *keys, "cls", "grp", "frame", "t", "x", "y", F.lead("t").over(w).alias("t2"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("t2 is not null")
-    j = steps.join(F.broadcast(lines), "site")
+    j = steps.join(sized(lines), "site")
     a, b = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
     s1, s2 = (cross_side(*a, *b, F.col(x), F.col(y)) for x, y in (("x", "y"), ("x2", "y2")))
     dx, dy, ex, ey = F.col("x2") - F.col("x"), F.col("y2") - F.col("y"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
@@ -136,7 +137,7 @@ def weighted_share(tracks: DataFrame, share: str, weight: str, keys: list[str],
 
 def near_lines_share(points: DataFrame, segments: DataFrame, reach: float = 6.0) -> DataFrame:
     """AGG-13: per site: share of samples within reach of the nearest segment (site, ax, ay, bx, by)."""
-    d = points.join(F.broadcast(segments), "site").groupBy("site", *[c for c in TRACK], "frame").agg(F.min(segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])).alias("d"))
+    d = points.join(sized(segments), "site").groupBy("site", *[c for c in TRACK], "frame").agg(F.min(segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])).alias("d"))
     return d.groupBy("site").agg(F.count("*").alias("n"), F.avg((F.col("d") <= reach).cast("double")).alias("share"), F.percentile("d", 0.5).alias("median_m"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import segment_distance
+from ..session import sized
 
 TRACK = ["clip", "track_id"]
 #: Largest errors for a pass: metres aside, per cent of length and speed, metres at the ends.
@@ -71,7 +72,7 @@ def picked(points: DataFrame, ends: DataFrame) -> DataFrame:
     """GT-05: per clip the person track that follows its line (clip, ax, ay, bx, by) best in the median and
     covers more than half of it; where none does, the longest one."""
     p = points.where("cls = 'person'")
-    j = p.join(F.broadcast(ends), "clip")
+    j = p.join(sized(ends), "clip")
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     along = ((F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))) / length
     j = j.withColumn("_u", along / length).withColumn("_d", segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boxes as B
+from ..session import sized
 from ..sources.tables import table
 from .aggregates import rnd
 from .base import BOXES, POINTS, boxes, points, r, sql
@@ -38,7 +39,7 @@ def det03_without_riders(spark: SparkSession, sf: str) -> DataFrame:
 def sized_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes with the size of their clip's picture and the clip's fps."""
     size = table(spark, sf, "clips").join(F.broadcast(table(spark, sf, "calibrations").select("site", "image_w", "image_h")), "site").select("clip", "image_w", "image_h", F.col("fps").cast("double").alias("fps"), F.col("vid_stride").cast("double").alias("stride"))
-    return boxes(spark, sf).join(F.broadcast(size), "clip")
+    return boxes(spark, sf).join(sized(size), "clip")
 
 
 SIZED = "z AS (SELECT b.*, image_w, image_h, CAST(fps AS DOUBLE) AS fps, CAST(vid_stride AS DOUBLE) AS stride FROM b JOIN clips c ON c.clip = b.clip JOIN calibrations k ON k.site = c.site)"
@@ -115,7 +116,7 @@ def cln04_feet_bridged(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql(BOXES, VOTED, then=f"SELECT {KEY} FROM v WHERE class IN (SELECT class FROM group_params WHERE \"group\" IN ('people', 'cycles'))"))
 def cln05_configured_classes(spark: SparkSession, sf: str) -> DataFrame:
     wanted = table(spark, sf, "group_params").where(F.col("group").isin("people", "cycles")).select("class")
-    return key(B.voted(boxes(spark, sf)).join(F.broadcast(wanted), "class", "left_semi"))
+    return key(B.voted(boxes(spark, sf)).join(sized(wanted), "class", "left_semi"))
 
 
 @query(sql(BOXES, then=f"SELECT {KEY}, (x1 + x2) / 2 AS u, y2 AS v FROM b"))

@@ -130,7 +130,7 @@ def cal03_reports(spark: SparkSession, sf: str) -> DataFrame:
     return C.reports(C.fits(clicks(spark, sf), ["site"])).select("site", "report", "warnings")
 
 
-_HGT = "hh AS (SELECT grp AS clip, CASE WHEN t < 60 THEN 0 WHEN t < 120 THEN 1 ELSE 2 END AS band, 1.5 + 0.01 * (frame % 30) AS height FROM p)"
+_HGT = "hh AS (SELECT grp AS clip, CASE WHEN t < 60 THEN 0 WHEN t < 120 THEN 1 ELSE 2 END AS band, 1.5::DOUBLE + 0.01::DOUBLE * (frame % 30) AS height FROM p)"
 
 
 @query(sql(POINTS, _HGT, "bb AS (SELECT clip, band, quantile_cont(height, 0.5) AS m FROM hh GROUP BY ALL HAVING count(*) >= 30)", "cc AS (SELECT clip, s::DOUBLE AS scale, round(avg(abs(m * s - 1.70)), 9) AS cost, count(*) AS bands FROM bb, (VALUES (0.9), (1.0), (1.1), (1.2)) t(s) GROUP BY ALL)", then=f"SELECT clip AS grp, scale, bands, {r('cost', 6)} AS cost_m FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY cost, abs(scale - 1), scale) AS n FROM cc) WHERE n = 1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
-from ..session import cut_lineage
+from ..session import cut_lineage, sized
 from ..sources.tables import table
 from .aggregates import rnd
 from .base import POINTS, points, r, sql
@@ -20,7 +20,7 @@ def limits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).join(F.broadcast(limits(spark, sf)), "cls").select("clip", "track_id", "cls", "grp", "frame", "t", "x", "y", "pred", "fps", "dt", "max_speed", "jump_tol")
+    return points(spark, sf).join(sized(limits(spark, sf)), "cls").select("clip", "track_id", "cls", "grp", "frame", "t", "x", "y", "pred", "fps", "dt", "max_speed", "jump_tol")
 
 
 SAMPLES = 'k0 AS (SELECT clip, track_id, p.cls, grp, frame, t, x, y, pred, fps, dt, g.max_speed, g.jump_tol_m AS jump_tol FROM p JOIN group_params g ON g.class = p.cls)'
@@ -168,7 +168,7 @@ def cln17_sources(spark: SparkSession, sf: str) -> DataFrame:
 def smooth(spark: SparkSession, sf: str) -> DataFrame:
     d = dense(spark, sf)
     strides = table(spark, sf, "clips").select("clip", (F.col("vid_stride") / F.col("fps")).alias("dt"))
-    return C.smoothed(d.join(F.broadcast(strides), "clip"), 5, F.col("dt"))
+    return C.smoothed(d.join(sized(strides), "clip"), 5, F.col("dt"))
 
 
 _SG_ROWS = """g0 AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY clip, track_id, seg) AS c FROM d3 WINDOW w AS (PARTITION BY clip, track_id, seg ORDER BY frame)),

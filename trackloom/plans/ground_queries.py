@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import ground as G
+from ..session import sized
 from ..sources.tables import table
 from .aggregates import EDGES, SEG, SEGU, rnd, zone_edges
 from .base import BOXES, POINTS, points, r, sql
@@ -20,7 +21,7 @@ KEY = "clip, track_id, frame"
 def cameras(spark: SparkSession, sf: str) -> DataFrame:
     """Per clip: matrix, picture size, focal length and height of its site's camera."""
     k = table(spark, sf, "calibrations").select("site", "h", "f_px", "height_m", "image_w", "image_h")
-    return table(spark, sf, "clips").select("clip", "site").join(F.broadcast(k), "site")
+    return table(spark, sf, "clips").select("clip", "site").join(sized(k), "site")
 
 
 def _map(prefix: str, u: str, v: str, m: list[str]) -> str:
@@ -34,7 +35,7 @@ gr AS (SELECT *, mx / mw AS gx, my / mw AS gy FROM g0 WHERE sign(mw) = ws AND ab
 
 
 def projected(spark: SparkSession, sf: str) -> DataFrame:
-    b = feet(spark, sf).join(F.broadcast(cameras(spark, sf)), "clip")
+    b = feet(spark, sf).join(sized(cameras(spark, sf)), "clip")
     h = G.cells("h")
     gx, gy = G.to_ground(h, F.col("u"), F.col("v"), G.sign_of_view(h, F.col("image_w"), F.col("image_h")))
     return b.withColumn("gx", gx).withColumn("gy", gy).where("gx is not null and gy is not null")
@@ -83,7 +84,7 @@ def prj06_to_pixel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(BOXES, FEET, GROUND, then="SELECT ft.clip, count(*) AS rows, CAST(count(*) - count(gr.frame) AS BIGINT) AS above_horizon FROM ft LEFT JOIN gr ON gr.clip = ft.clip AND gr.track_id = ft.track_id AND gr.frame = ft.frame GROUP BY ft.clip"))
 def prj07_dropped_rows(spark: SparkSession, sf: str) -> DataFrame:
-    b = feet(spark, sf).join(F.broadcast(cameras(spark, sf)), "clip")
+    b = feet(spark, sf).join(sized(cameras(spark, sf)), "clip")
     h = G.cells("h")
     gx, _ = G.to_ground(h, F.col("u"), F.col("v"), G.sign_of_view(h, F.col("image_w"), F.col("image_h")))
     return b.groupBy("clip").agg(F.count("*").alias("rows"), F.sum(gx.isNull().cast("long")).alias("above_horizon"))
@@ -157,7 +158,7 @@ def prj12_precise_range(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql(POINTS, f"w AS (SELECT p.*, sqrt(x * x + y * y) AS d, {_RANGE} / 4.0 AS rng FROM p JOIN calibrations k ON k.site = p.site)", then=f"SELECT {KEY}, d > rng AS beyond_limit FROM w WHERE d <= 2.2 * rng"))
 def prj13_within_range(spark: SparkSession, sf: str) -> DataFrame:
     k = table(spark, sf, "calibrations").select("site", "f_px", "height_m")
-    p = points(spark, sf).join(F.broadcast(k), "site")
+    p = points(spark, sf).join(sized(k), "site")
     return G.within_range(p, G.precise_range(depth_limit(), F.col("f_px"), F.col("height_m")) / 4.0).select("clip", "track_id", "frame", "beyond_limit")
 
 

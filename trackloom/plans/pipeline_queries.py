@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pipeline as P
+from ..session import sized
 from ..sources.tables import table
 from .base import boxes
 from .ground_queries import depth_limit
@@ -14,7 +15,7 @@ from .registry import query
 
 def dimensions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     k = table(spark, sf, "calibrations").select("site", "h", "image_w", "image_h", "f_px", "height_m")
-    cameras = table(spark, sf, "clips").select("clip", "site", F.col("fps").cast("double").alias("fps"), F.col("vid_stride").cast("long").alias("stride")).join(F.broadcast(k), "site").drop("site")
+    cameras = table(spark, sf, "clips").select("clip", "site", F.col("fps").cast("double").alias("fps"), F.col("vid_stride").cast("long").alias("stride")).join(sized(k), "site").drop("site")
     g = table(spark, sf, "group_params").select("class", F.col("group").alias("grp"), "max_speed", F.col("jump_tol_m").alias("jump_tol"))
     by = lambda d: F.coalesce(F.create_map(*[F.lit(v) for kv in d.items() for v in kv])[F.col("grp")], F.lit(0.0))
     g = g.withColumns({"stitch_radius": by({"people": 1.5, "cycles": 2.5, "trains": 8.0, "vehicles": 4.0}), "smooth_s": by({"people": 1.0, "cycles": 0.8, "trains": 1.0, "vehicles": 0.6}), "min_displacement": by({"trains": 10.0, "vehicles": 5.0}), "offset_m": by({"vehicles": 2.2}), "depth_limit": depth_limit()})
