@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip_to, cross_side, heading_of, segment_distance
-from ..session import sized
+from ..session import cut_lineage, sized
 
 TRACK = ["clip", "track_id"]
 
@@ -165,12 +165,14 @@ def sources_and_sinks(points: DataFrame) -> DataFrame:
     return e.select(*TRACK, "grp", F.lit("source").alias("kind"), "a.*").unionByName(e.select(*TRACK, "grp", F.lit("sink").alias("kind"), "b.*"))
 
 
-def cell_means_filled(cells: DataFrame, wanted: DataFrame, value: str, keys: list[str], reach: int = 3) -> DataFrame:
-    """AGG-18: value of each wanted cell (keys, i, j), else that of the nearest cell within reach cells.
+def cell_means_filled(cells: DataFrame, wanted: DataFrame, value: str, keys: list[str], reach: int | None = None) -> DataFrame:
+    """AGG-18: value of each wanted cell (keys, i, j), else that of the nearest cell of its keys, however far.
 
-    Ties go to the smaller (i, j). Candidates are met by an equality on shifted cells, never by a
-    cross join; beyond reach the value is null.
+    Ties go to the smaller (i, j). Null is left only where no cell of the keys has a value. With a reach, only the
+    square of so many cells on each side is looked at and the value is null beyond it.
     """
+    if reach is None:
+        return _nearest_filled(cells, wanted, value, keys)
     shifts = F.array(*[F.struct(F.lit(a).cast("long").alias("di"), F.lit(b).cast("long").alias("dj")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
     near = wanted.select(*keys, "i", "j", F.inline(shifts)).withColumn("ci", F.col("i") + F.col("di")).withColumn("cj", F.col("j") + F.col("dj"))
     c = cells.select(*keys, F.col("i").alias("ci"), F.col("j").alias("cj"), F.col(value).alias("_v"))
@@ -179,6 +181,37 @@ def cell_means_filled(cells: DataFrame, wanted: DataFrame, value: str, keys: lis
     return met.groupBy(*keys, "i", "j").agg(F.min_by("_v", order).alias(value))
 
 
+def _nearest_filled(cells: DataFrame, wanted: DataFrame, value: str, keys: list[str], first: int = 4) -> DataFrame:
+    """Rounds over blocks of 4, 16, 64 .. cells: a wanted cell meets the nine blocks around it, which hold all cells up
+    to a block's side away, so a find within that is final and the others go to the next round. Only cells with a
+    neighbour without a value can be nearest to another cell, so the inside of filled areas is never met."""
+    c = cells.where(F.col(value).isNotNull()).select(*keys, F.col("i").cast("long").alias("ci"), F.col("j").cast("long").alias("cj"), F.col(value).alias("_v"))
+    c = cut_lineage(c.groupBy(*keys, "ci", "cj").agg(F.min("_v").alias("_v")))
+    want = wanted.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct()
+    start = want.join(c.withColumnsRenamed({"ci": "i", "cj": "j"}), [*keys, "i", "j"], "left")
+    start = cut_lineage(start.join(c.select(*keys).distinct().withColumn("_any", F.lit(True)), keys, "left"))
+    out = start.where("_v is not null or _any is null").select(*keys, "i", "j", "_v")
+    rest = start.where("_v is null and _any").select(*keys, "i", "j")
+    sides = F.array(*[F.struct(F.lit(a).cast("long").alias("_a"), F.lit(b).cast("long").alias("_b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    beside = c.select(*keys, "ci", "cj", "_v", F.inline(sides)).withColumn("_ni", F.col("ci") + F.col("_a")).withColumn("_nj", F.col("cj") + F.col("_b"))
+    taken = c.select(*keys, F.col("ci").alias("_ni"), F.col("cj").alias("_nj"))
+    edge = cut_lineage(beside.join(taken, [*keys, "_ni", "_nj"], "left_anti").select(*keys, "ci", "cj", "_v").distinct())
+    around = F.array(*[F.struct(F.lit(a).cast("long").alias("_a"), F.lit(b).cast("long").alias("_b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    side = first
+    while not rest.isEmpty():
+        block = lambda v: F.floor(F.col(v) / side)  # noqa: B023, E731
+        e = edge.withColumn("_bi", block("ci")).withColumn("_bj", block("cj"))
+        w = rest.select(*keys, "i", "j", F.inline(around)).withColumn("_bi", block("i") + F.col("_a")).withColumn("_bj", block("j") + F.col("_b"))
+        d2 = (F.col("ci") - F.col("i")) * (F.col("ci") - F.col("i")) + (F.col("cj") - F.col("j")) * (F.col("cj") - F.col("j"))
+        best = w.join(e, [*keys, "_bi", "_bj"]).groupBy(*keys, "i", "j").agg(F.min(F.struct(d2.alias("d2"), "ci", "cj", "_v")).alias("_s"))
+        met = cut_lineage(rest.join(best, [*keys, "i", "j"], "left"))
+        final = F.coalesce(F.col("_s.d2") <= side * side, F.lit(False))
+        out = out.unionByName(met.where(final).select(*keys, "i", "j", F.col("_s._v").alias("_v")))
+        rest = met.where(~final).select(*keys, "i", "j")
+        side *= 4
+    return out.withColumnRenamed("_v", value)
+
+
 def speed_runs(points: DataFrame, lo: float, hi: float, bins: int = 12) -> DataFrame:
     """AGG-19: stretches of a track in one speed class; neighbours share their end sample."""
     w = Window.partitionBy(*TRACK).orderBy("frame")

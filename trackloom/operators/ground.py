@@ -154,13 +154,13 @@ def with_elevation(points: DataFrame, terrain: DataFrame, left: float, top: floa
     return p.drop("_c", "_r", "_fx", "_fy").join(z, "_id", "left").drop("_id")
 
 
-def filled_terrain(terrain: DataFrame, reach: int = 4) -> DataFrame:
-    """SRC-11: gaps (null, or outside -100 .. 2000 m) take the nearest cell's height within reach cells."""
+def filled_terrain(terrain: DataFrame) -> DataFrame:
+    """SRC-11: gaps (null, or outside -100 .. 2000 m) take the nearest cell's height, however far it is."""
     from .aggregate import cell_means_filled
 
     t = terrain.select(F.lit(0).alias("k"), F.col("col").cast("long").alias("i"), F.col("row").cast("long").alias("j"), F.when(F.col("z").between(-100.0, 2000.0), F.col("z")).alias("z"))
     good, gaps = t.where("z is not null"), t.where("z is null")
-    got = cell_means_filled(good, gaps, "z", ["k"], reach)
+    got = cell_means_filled(good, gaps, "z", ["k"])
     return good.unionByName(got.select("k", "i", "j", "z")).select(F.col("j").alias("row"), F.col("i").alias("col"), "z")
 
 

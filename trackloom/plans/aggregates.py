@@ -171,9 +171,21 @@ def agg17_sources_and_sinks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(POINTS, "c AS (SELECT clip, floor(x / 2.0) AS i, floor(y / 2.0) AS j, avg(speed) AS v FROM p WHERE grp = 'people' AND speed IS NOT NULL GROUP BY ALL)", "q AS (SELECT DISTINCT clip, floor(x / 2.0) AS i, floor(y / 2.0) AS j FROM p WHERE grp <> 'people')", then=f"SELECT clip, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('v')} AS v FROM (SELECT q.*, c.v, row_number() OVER (PARTITION BY q.clip, q.i, q.j ORDER BY CASE WHEN c.i IS NULL THEN 1 ELSE 0 END, (c.i - q.i) * (c.i - q.i) + (c.j - q.j) * (c.j - q.j), c.i, c.j) AS n FROM q LEFT JOIN c ON c.clip = q.clip AND c.i BETWEEN q.i - 3 AND q.i + 3 AND c.j BETWEEN q.j - 3 AND q.j + 3) WHERE n = 1"))
 def agg18_nearest_cell_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """As its SQL has it: within three cells on each side only; agg18_nearest_cell_whole has no bound."""
+    return rnd(A.cell_means_filled(*speed_cells(spark, sf), "v", ["clip"], 3))
+
+
+def speed_cells(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Mean speed of people per 2 m cell, and the cells of all others."""
     p = points(spark, sf).withColumn("i", F.floor(F.col("x") / 2.0)).withColumn("j", F.floor(F.col("y") / 2.0))
     cells = p.where("grp = 'people' and speed is not null").groupBy("clip", "i", "j").agg(F.avg("speed").alias("v"))
-    return rnd(A.cell_means_filled(cells, p.where("grp <> 'people'").select("clip", "i", "j").distinct(), "v", ["clip"]))
+    return cells, p.where("grp <> 'people'").select("clip", "i", "j").distinct()
+
+
+@query(sql(POINTS, "c AS (SELECT clip, floor(x / 2.0) AS i, floor(y / 2.0) AS j, avg(speed) AS v FROM p WHERE grp = 'people' AND speed IS NOT NULL GROUP BY ALL)", "q AS (SELECT DISTINCT clip, floor(x / 2.0) AS i, floor(y / 2.0) AS j FROM p WHERE grp <> 'people')", then=f"SELECT clip, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('v')} AS v FROM (SELECT q.*, c.v, row_number() OVER (PARTITION BY q.clip, q.i, q.j ORDER BY CASE WHEN c.i IS NULL THEN 1 ELSE 0 END, (c.i - q.i) * (c.i - q.i) + (c.j - q.j) * (c.j - q.j), c.i, c.j) AS n FROM q LEFT JOIN c ON c.clip = q.clip) WHERE n = 1"))
+def agg18_nearest_cell_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell takes the nearest one's value, however far; null only where the clip has no people at all."""
+    return rnd(A.cell_means_filled(*speed_cells(spark, sf), "v", ["clip"]))
 
 
 @query(sql(POINTS, "a AS (SELECT *, lead(frame) OVER w AS nxt FROM (SELECT *, least(floor(least(greatest(speed, 0.0), 15.0) / 1.25), 11) AS k FROM p WHERE speed IS NOT NULL) WINDOW w AS (PARTITION BY clip, track_id ORDER BY frame))", "l AS (SELECT *, lag(k) OVER (PARTITION BY clip, track_id ORDER BY frame) AS pk FROM a)", "u AS (SELECT *, sum(CASE WHEN k = pk THEN 0 ELSE 1 END) OVER (PARTITION BY clip, track_id ORDER BY frame) AS run FROM l)", then="SELECT clip, track_id, CAST(run AS BIGINT) AS run, CAST(k AS INTEGER) AS k, min(frame) AS start_frame, coalesce(max(nxt), max(frame)) AS end_frame, count(*) AS n FROM u GROUP BY clip, track_id, run, k"))

@@ -127,6 +127,13 @@ def src11_filled_terrain(spark: SparkSession, sf: str) -> DataFrame:
     return G.filled_terrain(t)
 
 
+@query("SELECT r AS \"row\", c AS col, CASE WHEN c % 50 = 7 THEN 5.0 + 0.01 * (c - 1) + 0.02 * r WHEN c BETWEEN 210 AND 249 THEN 5.0 + 0.01 * (CASE WHEN c <= 229 THEN 209 ELSE 250 END) + 0.02 * r ELSE 5.0 + 0.01 * c + 0.02 * r END AS z FROM range(0, 400) a(r), range(0, 400) b(c)")
+def src11_filled_raster(spark: SparkSession, sf: str) -> DataFrame:
+    """All 400 rows; besides every fiftieth column a strip of forty is missing."""
+    t = terrain(spark).withColumn("z", F.when((F.col("col") % 50 == 7) | F.col("col").between(210, 249), F.lit(-9999.0)).otherwise(F.col("z")))
+    return G.filled_terrain(t)
+
+
 @query(sql(POINTS, EDGES, "q0 AS (SELECT p.site, p.track_id, p.frame, p.x * (1 - z / 40.0) AS x, p.y * (1 - z / 40.0) AS y, z FROM p, (VALUES (0.0), (2.5), (5.0), (7.5)) t(z) WHERE grp = 'trains')",
            f"q1 AS (SELECT site, track_id, frame, z, min({SEG.format(x='x', y='y')}) AS d FROM (SELECT q0.*, e.ax, e.ay, e.ex, e.ey, {SEGU.format(x='x', y='y')} AS u FROM q0 JOIN e ON e.site = q0.site AND e.kind = 'platform') GROUP BY ALL)",
            "q2 AS (SELECT site, z, quantile_cont(d, 0.5) AS m FROM q1 GROUP BY ALL HAVING count(*) >= 20)", then=f"SELECT site, CAST(z AS DOUBLE) AS z, {r('m')} AS median_m FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY m, z) AS n FROM q2) WHERE n = 1"))
