@@ -26,3 +26,24 @@ def test_wide_gaps_of_terrain(spark):
     rows = [(r, c, float(c) if c < 3 or c > 40 else None) for r in range(3) for c in range(50)]
     got = {x[:2]: x[2] for x in filled_terrain(spark.createDataFrame(rows, "row long, col long, z double")).collect()}
     assert got[1, 20] == 2.0 and got[1, 30] == 41.0 and len(got) == 150 and None not in got.values()
+
+
+def test_process_smooths_about_the_camera(spark):
+    """A walker far off, whose feet wobble by pixels: the depth gets a longer window, the plain smoothing stays an option."""
+    from trackloom.operators.pipeline import Settings, process
+
+    # camera over (0, 0), 5 m up, looking level along y: u = 960 + 1000 x / y, v = 540 + 5000 / y
+    h = np.linalg.inv(np.array([[1000.0, 960.0, 0.0], [0.0, 540.0, 5000.0], [0.0, 1.0, 0.0]])).ravel().tolist()
+    rows = [("c", 1, "person", f, u - 15, v - 50, u + 15, v, 0.8, False) for f in range(100) for u, v in [(960 + 1000 * (-4 + 0.14 * f) / 40, 540 + 5000 / 40 + (1.0 if f % 7 < 3 else -1.0))]]
+    boxes = spark.createDataFrame(rows, "clip string, track_id long, class string, frame long, x1 double, y1 double, x2 double, y2 double, confidence double, predicted boolean")
+    cameras = spark.createDataFrame([("c", h, 1920, 1080, 1000.0, 5.0, 10.0, 1)], "clip string, h array<double>, image_w int, image_h int, f_px double, height_m double, fps double, stride long")
+    groups = spark.createDataFrame([("person", "people", 20.0, 5.0, 1.5, 1.0, 0.0, 0.0, 5.0)], "class string, grp string, max_speed double, jump_tol double, stitch_radius double, smooth_s double, min_displacement double, offset_m double, depth_limit double")
+    wobble = {on: process(boxes, cameras, groups, Settings(radial_smoothing=on)).points.toPandas()["vy"].abs().mean() for on in (True, False)}
+    assert 0 < wobble[True] < 0.7 * wobble[False]
+
+
+def test_settings_of_a_configuration():
+    from trackloom.operators.pipeline import Settings
+
+    s = Settings.of({"max_gap_s": 1.0, "stitch": False, "hidden_feet": "bridge", "recover_occluded_feet": False, "radial_smoothing": False})
+    assert (s.max_gap_s, s.stitch, s.bridge_hidden_feet, s.recover_feet, s.radial_smoothing, s.min_track_s) == (1.0, False, True, False, False, 1.0)

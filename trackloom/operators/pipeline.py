@@ -34,6 +34,13 @@ class Settings:
     feet_rows: int = 60
     squish_ratio: float = 0.8
     end_fit_s: float = 0.6
+    radial_smoothing: bool = True
+
+    @classmethod
+    def of(cls, cleaning: dict) -> Settings:
+        """From a configuration's cleaning section. feet_window_s and smooth_polyorder have no counterpart here."""
+        own = {k: cleaning[k] for k in ("max_gap_s", "stitch", "stitch_max_gap_s", "min_track_s", "min_moving_speed", "drop_passengers", "squish_ratio", "radial_smoothing") if k in cleaning}
+        return cls(**own, bridge_hidden_feet=cleaning.get("hidden_feet", "keep") == "bridge", recover_feet=cleaning.get("recover_occluded_feet", True))
 
 
 @dataclass(frozen=True)
@@ -63,7 +70,7 @@ def ground_samples(boxes: DataFrame, cameras: DataFrame, groups: DataFrame, sett
     b = b.withColumn("x", x).withColumn("y", y).where("x is not null and y is not null")
     b = b.withColumn("range_m", G.precise_range(F.col("depth_limit"), F.col("f_px"), F.col("height_m")))
     b = G.within_range(b, F.col("range_m"))
-    return b.select("clip", "track_id", F.col("class").alias("cls"), "grp", "frame", (F.col("frame") / F.col("fps")).alias("t"), "x", "y", F.col("predicted").alias("pred"), "feet_hidden", "fps", "stride", "max_speed", "jump_tol", F.col("stitch_radius").alias("radius"), "smooth_s", "min_displacement", "offset_m", "range_m")
+    return b.select("clip", "track_id", F.col("class").alias("cls"), "grp", "frame", (F.col("frame") / F.col("fps")).alias("t"), "x", "y", F.col("predicted").alias("pred"), "feet_hidden", "fps", "stride", "max_speed", "jump_tol", F.col("stitch_radius").alias("radius"), "smooth_s", "min_displacement", "offset_m", "range_m", "height_m")
 
 
 def process(boxes: DataFrame, cameras: DataFrame, groups: DataFrame, settings: Settings = Settings()) -> Processed:
@@ -84,17 +91,21 @@ def process(boxes: DataFrame, cameras: DataFrame, groups: DataFrame, settings: S
     key = ["clip", "out_id"]
     s = C.lasting(C.moving(s, F.col("min_displacement"), key), settings.min_track_s, key)
     # dense rows of each width of window; groups and rates make few of them
-    fixed = s.groupBy(*key, "cls", "grp", "tracker_ids", "stride", "fps", "smooth_s", "offset_m", "range_m").agg(F.avg(F.col("feet_hidden").cast("double")).alias("feet_hidden_share"))
+    fixed = s.groupBy(*key, "cls", "grp", "tracker_ids", "stride", "fps", "smooth_s", "offset_m", "range_m", "height_m").agg(F.avg(F.col("feet_hidden").cast("double")).alias("feet_hidden_share"))
     dense = C.densified(s, F.col("stride").cast("long"), key).join(fixed, key)
     widths = sorted({C.savgol_width(r["smooth_s"], r["dt"]) for r in groups.select("smooth_s").distinct().crossJoin(F.broadcast(cameras.select((F.col("stride") / F.col("fps")).alias("dt")).distinct())).collect()})
     # halves round to even, as savgol_width does
     w = F.greatest(F.bround(F.col("smooth_s") / (F.col("stride") / F.col("fps"))), F.lit(4.0)).cast("int")
     dense = dense.withColumn("_w", w + F.when(w % 2 == 0, 1).otherwise(0))
-    smooth = None
+    # as in the reference, about the camera wherever its height is known; it stands over (0, 0)
+    radial = F.coalesce(F.col("height_m") != 0, F.lit(False)) & F.lit(settings.radial_smoothing)
+    dt = F.col("stride") / F.col("fps")
+    smooth = C.smoothed_radially(dense.where(radial), F.col("_w"), dt, (0.0, 0.0, F.col("height_m")), key, span=F.col("smooth_s") / dt)
+    dense = dense.where(~radial)
     for width in widths:
         part = C.smoothed(dense.where(F.col("_w") == width), width, F.col("stride") / F.col("fps"), key)
-        smooth = part if smooth is None else smooth.unionByName(part)
-    p = C.with_headings(smooth if smooth is not None else C.smoothed(dense, 5, F.lit(1.0), key), settings.min_moving_speed, key)
+        smooth = smooth.unionByName(part.select(*smooth.columns))
+    p = C.with_headings(smooth, settings.min_moving_speed, key)
     p = G.centred(p, F.col("offset_m")).withColumn("speed", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2))
     p = p.withColumn("beyond_limit", F.coalesce(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) > F.col("range_m"), F.lit(False)))
     points = p.select(
