@@ -47,3 +47,35 @@ def test_settings_of_a_configuration():
 
     s = Settings.of({"max_gap_s": 1.0, "stitch": False, "hidden_feet": "bridge", "recover_occluded_feet": False, "radial_smoothing": False})
     assert (s.max_gap_s, s.stitch, s.bridge_hidden_feet, s.recover_feet, s.radial_smoothing, s.min_track_s) == (1.0, False, True, False, False, 1.0)
+
+
+def test_rays_bracketed_as_marched(spark):
+    """Steps of 0.5 m from the start, one ray at a time, against the bracketed march: a ridge of 2 m, up and down, off the raster."""
+    from trackloom.operators.ground import ray_cast
+
+    rng = np.random.default_rng(5)
+    grid = 5.0 + np.zeros((40, 40))
+    grid[:, 20:22] = 30.0
+
+    def ground(x, y):
+        c, r = np.floor(x + 20 - 0.5), np.floor(20 - y - 0.5)
+        if not (0 <= c < 39 and 0 <= r < 39):
+            return 2.0
+        a = x + 20 - 0.5 - c
+        return grid[int(r), int(c)] * (1 - a) + grid[int(r), int(c) + 1] * a
+
+    rays = [tuple(map(float, (*rng.uniform(-30, 30, 2), rng.uniform(6, 40), *rng.normal(0, 1, 3)))) for _ in range(60)] + [(-15.0, 0.0, 20.0, 1.0, 0.0, 0.0), (-15.0, 0.0, 40.0, 1.0, 0.0, 0.0)]
+    got = ray_cast(spark.createDataFrame([(k, *r) for k, r in enumerate(rays)], "id long, ox double, oy double, oz double, dx double, dy double, dz double"), grid, -20.0, 20.0, 1.0, 2.0, 200.0).collect()
+    for r in got:
+        o, d = np.array([r.ox, r.oy, r.oz]), np.array([r.dx, r.dy, r.dz])
+        d = d / np.linalg.norm(d)
+        s = next((k * 0.5 for k in range(1, 401) if (p := o + d * k * 0.5)[2] <= ground(p[0], p[1])), None)
+        assert (r.gx is None) == (s is None)
+        assert s is None or 0 <= s - np.linalg.norm([r.gx - r.ox, r.gy - r.oy, r.gz - r.oz]) <= 0.5 + 1e-6
+
+
+def test_a_ray_for_every_point(spark, sf):
+    from trackloom.plans.base import points
+    from trackloom.plans.ground_queries import prj08_ray_cast
+
+    assert prj08_ray_cast(spark, sf).count() == points(spark, sf).count()

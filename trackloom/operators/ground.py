@@ -168,9 +168,12 @@ def ray_cast(rays: DataFrame, grid: np.ndarray, left: float, top: float, res: fl
     """PRJ-08: gx, gy, gz where rays (ox, oy, oz, dx, dy, dz) first meet the terrain, else null.
 
     The raster is small by its nature (one site) and travels with the function; outside of it the
-    ground is the datum. Rays are marched together, block by block, then halved.
+    ground is the datum. Rays are marched together, block by block, then halved; each only where it
+    is between the highest and the lowest ground, on the same steps as from its start.
     """
     grid = np.asarray(grid, float)
+    known = np.append(grid[np.isfinite(grid)], datum)
+    lowest, highest = float(known.min()), float(known.max())
 
     def height(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         fx, fy = (x - left) / res - 0.5, (top - y) / res - 0.5
@@ -186,14 +189,20 @@ def ray_cast(rays: DataFrame, grid: np.ndarray, left: float, top: float, res: fl
             o, d = f[["ox", "oy", "oz"]].to_numpy(float), f[["dx", "dy", "dz"]].to_numpy(float)
             d = d / np.linalg.norm(d, axis=1, keepdims=True)
             hit = np.full(len(f), np.nan)
-            live = np.arange(len(f))
-            s = 0.0
-            while len(live) and s < max_range:
-                s += step
-                p = o[live] + d[live] * s
+            oz, dz = o[:, 2], d[:, 2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                enter = np.where(dz < 0, np.clip((oz - highest) / -dz, 0.0, max_range), 0.0)
+                leave = np.where(dz < 0, (oz - lowest) / -dz + step, np.where(dz > 0, (highest - oz) / dz, np.where(oz <= highest, max_range, -1.0)))
+            # number of the step before the first that counts, and of the last
+            k = np.maximum(np.floor(enter / step) - 1, 0)
+            last = np.minimum(np.ceil(np.clip(leave, -step, max_range) / step) + 1, np.ceil(max_range / step))
+            live = np.flatnonzero(k < last)
+            while len(live):
+                k[live] += 1
+                p = o[live] + d[live] * (k[live] * step)[:, None]
                 below = p[:, 2] <= height(p[:, 0], p[:, 1])
-                hit[live[below]] = s
-                live = live[~below]
+                hit[live[below]] = k[live[below]] * step
+                live = live[~below & (k[live] < last[live])]
             lo, hi = hit - step, hit.copy()
             for _ in range(halvings):
                 mid = (lo + hi) / 2

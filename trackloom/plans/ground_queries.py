@@ -98,8 +98,9 @@ def scene() -> np.ndarray:
 
 @query()
 def prj08_ray_cast(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).where("abs(x) < 180 and abs(y) < 180").select("clip", "track_id", "frame", F.lit(0.0).alias("ox"), F.lit(-190.0).alias("oy"), F.lit(40.0).alias("oz"), F.col("x").alias("dx"), (F.col("y") + 190.0).alias("dy"), F.lit(-35.0).alias("dz"))
-    return rnd(G.ray_cast(p, scene(), -200.0, 200.0, 1.0, 5.0, 600.0).select("clip", "track_id", "frame", "gx", "gy", "gz"), 3)
+    """A ray to each row of points, whether the ground there is on the raster or the datum beyond it."""
+    p = points(spark, sf).select("clip", "track_id", "frame", F.lit(0.0).alias("ox"), F.lit(-190.0).alias("oy"), F.lit(40.0).alias("oz"), F.col("x").alias("dx"), (F.col("y") + 190.0).alias("dy"), F.lit(-35.0).alias("dz"))
+    return rnd(G.ray_cast(p, scene(), -200.0, 200.0, 1.0, 5.0).select("clip", "track_id", "frame", "gx", "gy", "gz"), 3)
 
 
 def terrain(spark: SparkSession) -> DataFrame:
