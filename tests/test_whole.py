@@ -1,6 +1,9 @@
 """Whole jobs: what lies beyond a bound that an operator once had."""
 
+import json
+
 import numpy as np
+import pytest
 
 from trackloom.operators.aggregate import cell_means_filled
 from trackloom.operators.ground import filled_terrain
@@ -79,3 +82,13 @@ def test_a_ray_for_every_point(spark, sf):
     from trackloom.plans.ground_queries import prj08_ray_cast
 
     assert prj08_ray_cast(spark, sf).count() == points(spark, sf).count()
+
+
+def test_reports_are_whole_or_refused(spark, tmp_path):
+    from trackloom.sources.sinks import save_report
+
+    save_report(str(tmp_path / "a.json"), spark.range(1000))
+    assert len(json.loads((tmp_path / "a.json").read_text())) == 1000
+    with pytest.raises(ValueError):
+        save_report(str(tmp_path / "b.json"), spark.range(1001))
+    assert not (tmp_path / "b.json").exists()

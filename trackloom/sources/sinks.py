@@ -96,10 +96,13 @@ def save_calibration(path: str, matrix: list[float], origin: list[float], size:
     Path(path).write_text(json.dumps({"H": [matrix[k : k + 3] for k in (0, 3, 6)], "origin": origin, "image_size": size} | base, indent=1))
 
 
-def save_report(path: str, rows: DataFrame) -> None:
-    """SNK-18: a report of at most a few hundred rows as JSON."""
+def save_report(path: str, rows: DataFrame, most: int = 1000) -> None:
+    """SNK-18: a report of a few hundred rows as JSON; more than most rows are refused, not cut."""
+    lines = [r[0] for r in rows.select(F.to_json(F.struct("*"))).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"a report has at most {most} rows; write longer tables with write_csv or write_parquet")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("[" + ",\n".join(r[0] for r in rows.select(F.to_json(F.struct("*"))).limit(1000).collect()) + "]")
+    Path(path).write_text("[" + ",\n".join(lines) + "]")
 
 
 def save_provenance(run: str, config: dict, inputs: list[str]) -> None:
