@@ -1,7 +1,9 @@
 """Operators of the llm package on small fixtures: brute force, round trips, planted cases, hostile rows."""
 
+import itertools
 import math
 import random
+import re
 import sys
 from datetime import datetime
 from pathlib import Path
@@ -141,6 +143,60 @@ def test_patterns_fill_exactly_and_use_every_item():
     assert packing._exact(9, np.array([0, 0, 0, 2, 0, 0])) is None
 
 
+def brute_triple(gap, left):
+    have = [x for x in range(1, len(left)) if left[x]]
+    ways = [(a,) for a in have] + list(itertools.combinations_with_replacement(have, 2)) + list(itertools.combinations_with_replacement(have, 3))
+    return any(sum(w) == gap and all(w.count(x) <= left[x] for x in w) for w in ways)
+
+
+def test_every_filling_by_up_to_three_is_found():
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        left = np.zeros(int(rng.integers(3, 24)), np.int64)
+        at = rng.integers(1, len(left), int(rng.integers(1, 6)))
+        left[at] = rng.integers(1, 4, len(at))
+        gap = int(rng.integers(1, 3 * len(left)))
+        got = packing._exact(gap, left)
+        assert (got is not None) == brute_triple(gap, left), (gap, left)
+        assert got is None or (sum(got) == gap and all(got.count(x) <= left[x] for x in got))
+
+
+def test_a_triple_behind_many_that_fail():
+    left = np.zeros(400_001, np.int64)
+    for b in range(120_000, 120_080):
+        left[b] = left[400_000 - 2 * b] = 1
+    left[[150_001, 149_998, 100_001]] = 1
+    got = packing._exact(400_000, left)
+    assert got is not None and sum(got) == 400_000 and len(set(got)) == 3
+
+
+def test_capacities_beyond_a_million(spark):
+    items = spark.createDataFrame([(p, k, 0, n) for p in (1, 2) for k, n in enumerate([1_500_000, 500_000, 7, 1_048_583])], "pack_id int, key long, piece long, length long")
+    got = packing.pack_items(items, {1: 2_000_000, 2: 3_000_000}).collect()
+    assert len(got) == 8
+    for p, capacity in ((1, 2_000_000), (2, 3_000_000)):
+        for c in {r.container_id for r in got if r.pack_id == p}:
+            mine = sorted((r.start, r.length) for r in got if r.pack_id == p and r.container_id == c)
+            assert sum(n for _, n in mine) <= capacity
+            assert all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:]))
+
+
+def test_runs_come_from_the_strings():
+    """Any two positions within the step share a cell of one of the four grids; without a match there is no run."""
+    rng = np.random.default_rng(9)
+    x, y = (np.cumsum(rng.uniform(-0.03, 0.03, 20_000)) + 5e5 for _ in range(2))
+    near = np.hypot(np.diff(x), np.diff(y)) <= 0.03
+    found = runs.repetitions(x, y, 0.03)
+    assert not found[0] and found[1:][near].all() and not found.all()
+    rows = {"track_id": np.ones(len(x), np.int64), "slice": np.zeros(len(x), np.int64), "frame": np.arange(len(x)), "fps": np.full(len(x), 10.0), "x": x, "y": y, "own": np.ones(len(x), bool)}
+    assert len(runs.slice_runs(rows, 0.03, 2.0)["track_id"]) > 100
+    pattern, runs.REPEAT = runs.REPEAT, re.compile("(?!)")
+    try:
+        assert len(runs.slice_runs(rows, 0.03, 2.0)["track_id"]) == 0
+    finally:
+        runs.REPEAT = pattern
+
+
 def test_packed_documents(spark):
     rng = random.Random(5)
     texts = ["", None, " "] + ["stop"] * 400 + ["word " * rng.randint(1, 60) for _ in range(300)] + ["long text " * 900]

@@ -46,28 +46,35 @@ def _exact(gap: int, left: np.ndarray) -> list[int] | None:
         if fit.any():
             x = int(a[fit][-1])
             return [x, gap - x]
-    # triples: the index of pair sums says for which longest length the rest is a pair
+    # triples: the index of pair sums, each as often as an ordered pair of lengths makes it
     low = np.flatnonzero(has[: min(top, gap - 2) + 1])
-    low = low[low > 0]
     if len(low) < 1:
         return None
     signal = np.zeros(min(gap, 2 * top) + 1)
     size = 1 << int(np.ceil(np.log2(2 * len(signal))))
     signal[low[low < len(signal)]] = 1
-    pairs = np.fft.irfft(np.fft.rfft(signal, size) ** 2, size)[: len(signal)] > 0.5
+    pairs = np.rint(np.fft.irfft(np.fft.rfft(signal, size) ** 2, size)[: len(signal)]).astype(np.int64)
+    # a length that is left once is no pair with itself
+    once = low[(left[low] < 2) & (2 * low < len(pairs))]
+    pairs[2 * once] -= 1
+    # for each longest length the pairs of the rest, without those that need it more often than it is left
     rest = gap - low
-    good = low[(rest < len(pairs)) & pairs[np.minimum(rest, len(pairs) - 1)]]
-    for x in good[::-1][:64]:
-        r = gap - int(x)
-        a = np.arange(max(1, r - top), min(top, r - 1) + 1)
-        b = r - a
-        n = left
-        need_a, need_b = 1 + (a == b) + (a == x), 1 + (a == b) + (b == x)
-        fit = (n[a] >= need_a) & (n[b] >= need_b) & (n[x] >= 1 + (a == x) + (b == x))
-        if fit.any():
-            y = int(a[fit][-1])
-            return [int(x), y, r - y]
-    return None
+    inside = rest < len(pairs)
+    low, rest = low[inside], rest[inside]
+    other = rest - low
+    partner = (other > 0) & (other <= top)
+    partner &= has[np.clip(other, 0, top)]
+    taken = np.where(partner & (other != low) & (left[low] < 2), 2, 0) + np.where(partner & (other == low) & (left[low] == 2), 1, 0)
+    good = low[pairs[rest] - taken > 0]
+    if not len(good):
+        return None
+    x = int(good[-1])
+    r = gap - x
+    a = np.arange(max(1, r - top), min(top, r - 1) + 1)
+    b = r - a
+    fit = (left[a] >= 1 + (a == b) + (a == x)) & (left[b] >= 1 + (a == b) + (b == x)) & (left[x] >= 1 + (a == x) + (b == x))
+    y = int(a[fit][-1])
+    return [x, y, r - y]
 
 
 def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -153,19 +160,19 @@ def pack_items(items: DataFrame, capacities: dict[int, int], salts: int = SALTS)
     ranked = salted.where("length > 0").withColumn("_rank", F.row_number().over(within) - 1).join(sized(offsets), ["pack_id", "length", "_salt"])
     ranked = ranked.select("pack_id", "key", "piece", "length", (F.col("_rank") + F.col("_before")).cast("long").alias("rank"))
 
+    # groups of (pack, length) in the order of the plan; a rank is looked up within its group
+    packs_, lengths_ = np.unique(plan["pack"]), int(plan["length"].max(initial=0)) + 1
+    code = np.searchsorted(packs_, plan["pack"]) * lengths_ + plan["length"]
+    groups, group = np.unique(code, return_inverse=True)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = (plan["pack"] << 20) + plan["length"]
-        groups, first = np.unique(code, return_index=True)
-        last = np.append(first[1:], len(code))
         for b in batches:
             if not b.num_rows:
                 continue
             pack, length, rank = (b.column(k).to_numpy() for k in ("pack_id", "length", "rank"))
-            g = np.searchsorted(groups, (pack.astype(np.int64) << 20) + length)
-            row = np.zeros(len(rank), np.int64)
-            for v in np.unique(g):
-                here = g == v
-                row[here] = first[v] + np.searchsorted(plan["start"][first[v] : last[v]], rank[here], "right") - 1
+            most = int(max(rank.max(), plan["start"].max())) + 1
+            g = np.searchsorted(groups, np.searchsorted(packs_, pack) * lengths_ + length)
+            row = np.searchsorted(group * most + plan["start"], g * most + rank, "right") - 1
             j = rank - plan["start"][row]
             each = plan["each"][row]
             yield pa.RecordBatch.from_arrays([b.column("pack_id"), b.column("key"), b.column("piece"), b.column("length"), pa.array(plan["container"][row] + j // each), pa.array(plan["at"][row] + (j % each) * length)], names=["pack_id", "key", "piece", "length", "container_id", "start"])

@@ -1,11 +1,14 @@
-"""Runs of repeated consecutive events, by backreferences over a string of symbols.
+"""Runs of repeated consecutive events, by backreferences over strings of symbols.
 
-The rows of a track in frame order become symbols: a row that repeats the one before it (at most
-max_step_m and max_gap_s apart) has its symbol, any other row the next one of an alphabet of
-Unicode code points. The symbols of whole slices are concatenated, a backreference finds every
-repetition, and its span maps back to frames. Slices overlap by max_gap_s at their start, so each
-knows whether its first row repeats the last row before it; runs that cross slices are joined on
-the pieces that touch a border.
+The canonical event of a row is the cell its position lies in, a little wider than twice the step
+that still counts as the same place; each cell has a code point of the supplementary planes. Near
+positions may lie on both sides of a cell's edge, so there are four strings, of grids that are
+shifted by half a cell in x, in y, and in both: two positions within the step of each other share a
+cell in at least one of them. The symbols of whole slices are concatenated and a backreference finds
+the repetitions in each string. Only pairs of rows inside a match go on to the exact check of
+distance and time; rows linked by it are a run, whose span maps back to frames. Slices overlap by
+max_gap_s, so each knows whether its first row repeats the last row before it; runs that cross
+slices are joined on the pieces that touch a border.
 """
 
 from __future__ import annotations
@@ -17,11 +20,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.slices import SLICE_S, cut_slices, map_slices, rows_that_count, starts_of, with_fps
+from ..session import cut_lineage
 
-#: The alphabet begins at this code point and has so many, all of one plane and no surrogates.
-FIRST, ALPHABET = 0x4E00, 20_000
+#: The alphabet is the supplementary planes, which hold no surrogates.
+FIRST, ALPHABET = 0x10000, 0x100000
 REPEAT = re.compile(r"(.)\1+", re.DOTALL)
 PIECES = "track_id bigint, start_frame bigint, end_frame bigint, n_rows bigint, fps double, x double, y double, back boolean, ahead boolean"
+#: Metres for what doubles can't hold.
+HAIR = 1e-6
+
+
+def symbols(x: np.ndarray, y: np.ndarray, cell: float, shift_x: float, shift_y: float) -> str:
+    """The canonical event of every row as one character: its cell of the shifted grid. Cells far apart may share one."""
+    i, j = (np.clip(np.floor((v + s) / cell), -1e15, 1e15).astype(np.int64) for v, s in ((x, shift_x), (y, shift_y)))
+    with np.errstate(over="ignore"):
+        mixed = i * np.int64(0x1E3779B97F4A7C15) + j * np.int64(0x42B2AE3D27D4EB4F)
+    return (FIRST + ((mixed >> np.int64(17)) & np.int64(ALPHABET - 1))).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def repetitions(x: np.ndarray, y: np.ndarray, max_step_m: float) -> np.ndarray:
+    """Whether a row stands right after another one in a match of any of the four strings."""
+    cell = 2 * (max_step_m + 2 * HAIR)
+    bounds = np.zeros(len(x) + 1, np.int64)
+    for shift_x in (0.0, cell / 2):
+        for shift_y in (0.0, cell / 2):
+            spans = [m.span() for m in REPEAT.finditer(symbols(x, y, cell, shift_x, shift_y))]
+            if spans:
+                first, last = np.array(spans, np.int64).T
+                np.add.at(bounds, first + 1, 1)
+                np.add.at(bounds, last, -1)
+    return np.cumsum(bounds)[:-1] > 0
 
 
 def slice_runs(rows: dict[str, np.ndarray], max_step_m: float, max_gap_s: float) -> dict[str, np.ndarray]:
@@ -32,31 +60,20 @@ def slice_runs(rows: dict[str, np.ndarray], max_step_m: float, max_gap_s: float)
         return {n: np.array([], object) for n in names}
     track, piece, frame, fps, x, y, own = (rows[k][ok] for k in ("track_id", "slice", "frame", "fps", "x", "y", "own"))
     own = own.astype(bool)
-    new = starts_of(track, piece)
-    repeats = np.zeros(len(track), bool)
-    # a millionth of a metre for what doubles can't hold
-    repeats[1:] = (np.hypot(np.diff(x), np.diff(y)) <= max_step_m + 1e-6) & (np.diff(frame) <= max_gap_s * fps[1:] + 1e-9)
-    repeats &= ~new
-    # halo rows stand alone: their own slices report them
-    apart = ~repeats
-    apart |= own != np.roll(own, 1)
-    apart[0] = True
-    text = (FIRST + np.cumsum(apart) % ALPHABET).astype("<u4").tobytes().decode("utf-32-le")
-    spans = np.array([m.span() for m in REPEAT.finditer(text)], np.int64).reshape(-1, 2)
-    covered = np.zeros(len(track) + 1, np.int64)
-    np.add.at(covered, spans[:, 0], 1)
-    np.add.at(covered, spans[:, 1], -1)
-    inside = np.cumsum(covered)[:-1] > 0
-    # linked across a border: the first own row to the halo before it, the last own row to the halo after it
-    back = repeats & own & ~np.roll(own, 1)
-    ahead = np.zeros(len(track), bool)
-    ahead[:-1] = repeats[1:] & own[:-1] & ~own[1:]
-    lone = np.flatnonzero((back | ahead) & ~inside)
-    start = np.concatenate((spans[:, 0], lone))
-    end = np.concatenate((spans[:, 1] - 1, lone))
-    mine = own[start]
-    start, end = start[mine], end[mine]
-    return {"track_id": track[start], "start_frame": frame[start], "end_frame": frame[end], "n_rows": end - start + 1, "fps": fps[start], "x": x[start], "y": y[start], "back": back[start], "ahead": ahead[end]}
+    # the exact check, of what the strings found alone
+    linked = repetitions(x, y, max_step_m) & ~starts_of(track, piece)
+    at = np.flatnonzero(linked)
+    linked[at] = (np.hypot(x[at] - x[at - 1], y[at] - y[at - 1]) <= max_step_m + HAIR) & (frame[at] - frame[at - 1] <= max_gap_s * fps[at] + 1e-9)
+    # halo rows stand apart: their own slices report them
+    border = np.zeros(len(track), bool)
+    border[1:] = own[1:] != own[:-1]
+    start = np.flatnonzero(~linked | border)
+    end = np.append(start[1:], len(track)) - 1
+    back = linked[start] & border[start]
+    ahead = np.append(back[1:], False)
+    mine = own[start] & ((end > start) | back | ahead)
+    start, end, back, ahead = start[mine], end[mine], back[mine], ahead[mine]
+    return {"track_id": track[start], "start_frame": frame[start], "end_frame": frame[end], "n_rows": end - start + 1, "fps": fps[start], "x": x[start], "y": y[start], "back": back, "ahead": ahead}
 
 
 def collapse_runs(points: DataFrame, clips: DataFrame, max_step_m: float = 0.03, max_gap_s: float = 2.0, slice_s: float = SLICE_S) -> DataFrame:
@@ -68,7 +85,8 @@ def collapse_runs(points: DataFrame, clips: DataFrame, max_step_m: float = 0.03,
     ignored.
     """
     rows = rows_that_count(with_fps(points, clips), ["fps"], {"x": F.col("x"), "y": F.col("y")})
-    pieces = map_slices(cut_slices(rows, max_gap_s + 1e-6, slice_s), lambda r: slice_runs(r, max_step_m, max_gap_s), PIECES)
+    # written once, as both halves below read them; runs are few beside rows
+    pieces = cut_lineage(map_slices(cut_slices(rows, max_gap_s + 1e-6, slice_s), lambda r: slice_runs(r, max_step_m, max_gap_s), PIECES))
     w = Window.partitionBy("track_id").orderBy("start_frame")
     joined = pieces.where("back or ahead").withColumn("_run", F.sum(F.when(F.col("back"), 0).otherwise(1)).over(w))
     joined = joined.groupBy("track_id", "_run").agg(
