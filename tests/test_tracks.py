@@ -158,7 +158,7 @@ def test_near_and_inside_against_brute_force(spark, clips):
 
 def test_cover_is_exact_and_disjoint():
     ring = np.array([(0.0, 0.0), (30.0, 3.0), (25.0, 30.0), (12.0, 9.0), (-4.0, 22.0)])
-    from trackloom.operators.nearby import LEVELS, _inside
+    from trackloom.operators.nearby import _inside
 
     cells = cover(ring[:, 0], ring[:, 1])
     rng = np.random.default_rng(1)
@@ -168,8 +168,30 @@ def test_cover_is_exact_and_disjoint():
     hits = np.zeros(len(p), int)
     sure = np.zeros(len(p), bool)
     for level, i, j, interior in cells:
-        s = LEVELS[level]
+        s = 4.0**level
         here = (np.floor(p[:, 0] / s) == i) & (np.floor(p[:, 1] / s) == j)
         hits += here
         sure |= here & interior
     assert hits.max() <= 1 and not (truth & (hits == 0)).any() and truth[sure].all() and sure.sum() > truth.sum() / 2
+
+
+@pytest.mark.parametrize(("radius", "corners", "most"), [(3000.0, 400, 60_000), (50_000.0, 4, 120_000), (0.3, 5, 20)])
+def test_cover_of_large_and_tiny_regions(radius, corners, most):
+    """Few cells whatever the size, and every point of the region in exactly one of them."""
+    from trackloom.operators.nearby import _inside
+
+    a = np.linspace(0, 2 * math.pi, corners, endpoint=False) + 0.3
+    x, y = 4e5 + radius * np.cos(a), 3e5 + radius * np.sin(a)
+    cells = np.array(cover(x, y), dtype=[("level", int), ("i", int), ("j", int), ("interior", bool)])
+    assert 0 < len(cells) < most
+    rng = np.random.default_rng(2)
+    px, py = 4e5 + rng.uniform(-1.2, 1.2, 3000) * radius, 3e5 + rng.uniform(-1.2, 1.2, 3000) * radius
+    truth = _inside(px, py, x, y, np.roll(x, -1), np.roll(y, -1))
+    hits, sure = np.zeros(len(px), int), np.zeros(len(px), bool)
+    for level in np.unique(cells["level"]):
+        c = cells[cells["level"] == level]
+        known = dict(zip(zip(c["i"].tolist(), c["j"].tolist()), c["interior"].tolist()))
+        got = [known.get(k) for k in zip(np.floor(px / 4.0**level).astype(int).tolist(), np.floor(py / 4.0**level).astype(int).tolist())]
+        hits += np.array([g is not None for g in got])
+        sure |= np.array([bool(g) for g in got])
+    assert hits.max() <= 1 and not (truth & (hits == 0)).any() and truth[sure].all()

@@ -4,8 +4,9 @@ Both sides rest on one idea: cover a region by cells, tell the cells that lie wh
 those that its boundary crosses, accept matches of the former by an equality alone and test only
 the latter exactly.
 
-* A zone is covered adaptively: a square cell that the polygon's boundary misses is kept whole
-  (interior) or dropped (exterior), one that it crosses is split until it has the finest size.
+* A zone is covered adaptively, from cells of about its own size on: a square cell that the polygon's
+  boundary misses is kept whole (interior) or dropped (exterior), one that it crosses is split by four
+  each way, down to the finest size.
   Positions meet the cover by an equi-join on (site, level, cell).
 * The disc about a position is covered by cells whose diagonal is the distance: the position's own
   cell is interior, the 24 around it are boundary.
@@ -24,8 +25,11 @@ from ..session import cut_lineage, sized
 from .slices import map_slices, rows_that_count, starts_of, with_fps
 from .spikes import CLASSES, class_code
 
-#: Edge lengths in metres of the cells of a cover, coarse to fine; each divides the one before.
-LEVELS = (16.0, 4.0, 1.0)
+#: A cover has cells of 4 ** level metres. Boundary cells are split down to the finest level, or until
+#: a polygon has so many of them; all of them are tested exactly, whatever their size.
+FINEST, BOUNDARY_CELLS = 0, 4_000
+#: Pairs of a cell and an edge that are looked at in one go.
+BLOCK = 500_000
 #: Tiles within which near rows are looked for: metres and seconds.
 TILE_M, TILE_S = 64.0, 32.0
 #: The groups and the group of each class.
@@ -73,23 +77,20 @@ def track_labels(points: DataFrame) -> DataFrame:
 # -- zones ---------------------------------------------------------------------------------------
 
 
-def _crosses(x0: np.ndarray, y0: np.ndarray, size: float, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Whether any edge a-b touches each square cell (with a hair's margin): slab clipping, cells x edges."""
+def _touches(x0: np.ndarray, y0: np.ndarray, size: float, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Whether the edge a-b touches the square cell (with a hair's margin), pair by pair: slab clipping."""
     pad = 1e-6
-    x0, y0 = x0[:, None] - pad, y0[:, None] - pad
-    x1, y1 = x0 + size + 2 * pad, y0 + size + 2 * pad
-    lo, hi = np.zeros((x0.shape[0], len(ax))), np.ones((x0.shape[0], len(ax)))
-    for p, q, low, high in ((ax, bx, x0, x1), (ay, by, y0, y1)):
+    lo, hi = np.zeros(len(x0)), np.ones(len(x0))
+    for p, q, low in ((ax, bx, x0 - pad), (ay, by, y0 - pad)):
+        high = low + size + 2 * pad
         d = q - p
         flat = d == 0
         with np.errstate(divide="ignore", invalid="ignore"):
             s, e = (low - p) / d, (high - p) / d
         s, e = np.minimum(s, e), np.maximum(s, e)
-        out = flat & ((p < low) | (p > high))
-        s, e = np.where(flat, 0.0, s), np.where(flat, 1.0, e)
-        lo, hi = np.maximum(lo, s), np.minimum(hi, e)
-        hi = np.where(out, -1.0, hi)
-    return (lo <= hi).any(1)
+        lo = np.maximum(lo, np.where(flat, 0.0, s))
+        hi = np.where(flat & ((p < low) | (p > high)), -1.0, np.minimum(hi, np.where(flat, 1.0, e)))
+    return lo <= hi
 
 
 def _inside(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -101,8 +102,13 @@ def _inside(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx:
     return (up & (px < at)).sum(1) % 2 == 1
 
 
-def cover(ring_x: np.ndarray, ring_y: np.ndarray, levels: tuple[float, ...] = LEVELS) -> list[tuple[int, int, int, bool]]:
-    """(level, i, j, interior) cells that cover a polygon; fewer than three finite corners give none."""
+def cover(ring_x: np.ndarray, ring_y: np.ndarray, finest: int = FINEST, most: int = BOUNDARY_CELLS) -> list[tuple[int, int, int, bool]]:
+    """(level, i, j, interior): cells of 4 ** level metres that cover a polygon; fewer than three finite corners give none.
+
+    Begins with the few cells of about the size of the polygon's box. A cell that no edge touches is
+    kept whole or dropped; one that edges touch is split by four each way, and its parts are tested
+    against its own edges alone.
+    """
     x, y = np.asarray(ring_x, float), np.asarray(ring_y, float)
     n = min(len(x), len(y))
     x, y = x[:n], y[:n]
@@ -111,30 +117,46 @@ def cover(ring_x: np.ndarray, ring_y: np.ndarray, levels: tuple[float, ...] = LE
     if len(x) < 3:
         return []
     bx, by = np.roll(x, -1), np.roll(y, -1)
-    size = levels[0]
-    i, j = (v.ravel() for v in np.meshgrid(np.arange(np.floor(x.min() / size), np.floor(x.max() / size) + 1), np.arange(np.floor(y.min() / size), np.floor(y.max() / size) + 1)))
+    extent = max(x.max() - x.min(), y.max() - y.min(), 1e-9)
+    level = max(finest, int(np.ceil(np.log(extent) / np.log(4.0))) - 1)
+    size = 4.0**level
+    i, j = (v.ravel() for v in np.meshgrid(*[np.arange(np.floor((v.min() - 1e-6) / size), np.floor((v.max() + 1e-6) / size) + 1) for v in (x, y)]))
+    # pairs of a cell, by number, and an edge that may touch it
+    cell, edge = np.repeat(np.arange(len(i)), len(x)), np.tile(np.arange(len(x)), len(i))
     out: list[tuple[int, int, int, bool]] = []
-    for level, size in enumerate(levels):
-        cut = _crosses(i * size, j * size, size, x, y, bx, by)
-        full = ~cut & _inside((i + 0.5) * size, (j + 0.5) * size, x, y, bx, by)
-        out += [(level, int(a), int(b), True) for a, b in zip(i[full], j[full])]
+    while True:
+        parts = [slice(k, k + BLOCK) for k in range(0, len(cell), BLOCK)]
+        hit = np.concatenate([_touches(i[cell[p]] * size, j[cell[p]] * size, size, x[edge[p]], y[edge[p]], bx[edge[p]], by[edge[p]]) for p in parts]) if parts else np.zeros(0, bool)
+        cell, edge = cell[hit], edge[hit]
+        cut = np.zeros(len(i), bool)
+        cut[cell] = True
+        clear = np.flatnonzero(~cut)
+        for k in range(0, len(clear), max(1, BLOCK // len(x))):
+            c = clear[k : k + max(1, BLOCK // len(x))]
+            c = c[_inside((i[c] + 0.5) * size, (j[c] + 0.5) * size, x, y, bx, by)]
+            out += zip([level] * len(c), i[c].astype(np.int64).tolist(), j[c].astype(np.int64).tolist(), [True] * len(c))
         i, j = i[cut], j[cut]
-        if level + 1 == len(levels):
-            out += [(level, int(a), int(b), False) for a, b in zip(i, j)]
-        else:
-            f = int(round(size / levels[level + 1]))
-            di, dj = (v.ravel() for v in np.meshgrid(np.arange(f), np.arange(f)))
-            i, j = (i[:, None] * f + di).ravel(), (j[:, None] * f + dj).ravel()
+        cell = (np.cumsum(cut) - 1)[cell]
+        if level <= finest or len(i) > most:
+            break
+        level, size = level - 1, size / 4
+        di, dj = (v.ravel() for v in np.meshgrid(np.arange(4), np.arange(4)))
+        i, j = (i[:, None] * 4 + di).ravel(), (j[:, None] * 4 + dj).ravel()
+        cell, edge = (cell[:, None] * 16 + np.arange(16)).ravel(), np.repeat(edge, 16)
+    out += zip([level] * len(i), i.astype(np.int64).tolist(), j.astype(np.int64).tolist(), [False] * len(i))
     return out
 
 
 def zone_cover(zones: DataFrame) -> DataFrame:
     """zone_id, site, level, i, j, interior: the cover of every zone."""
+    names = ["zone_id", "site", "level", "i", "j", "interior"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(z, s, *c) for z, s, rx, ry in zip(f["zone_id"], f["site"], f["ring_x"], f["ring_y"]) if rx is not None and ry is not None for c in cover(rx, ry)]
-            yield pd.DataFrame(rows, columns=["zone_id", "site", "level", "i", "j", "interior"])
+            for z, s, rx, ry in zip(f["zone_id"], f["site"], f["ring_x"], f["ring_y"]):
+                cells = cover(rx, ry) if rx is not None and ry is not None else []
+                if cells:
+                    yield pd.DataFrame([(z, s, *c) for c in cells], columns=names)
 
     named = zones.where(F.col("zone_id").isNotNull() & F.col("site").isNotNull()).select("zone_id", "site", "ring_x", "ring_y")
     return named.mapInPandas(run, "zone_id bigint, site string, level int, i bigint, j bigint, interior boolean")
@@ -158,8 +180,13 @@ def rows_in_zones(rows: DataFrame, zones: DataFrame) -> DataFrame:
 
     rows: track_id, site, x, y. A zone without site or ring contains nothing.
     """
-    cells = sized(zone_cover(zones))
-    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / s).alias("i"), F.floor(F.col("y") / s).alias("j")) for k, s in enumerate(LEVELS)])
+    cells = cut_lineage(zone_cover(zones))
+    # a level for every fourfold size between a metre and the largest zone: a dozen span the earth
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())
+    if not levels:
+        return rows.select(F.lit(0).cast("long").alias("zone_id"), "track_id").where("false")
+    cells = sized(cells)
+    keys = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / 4.0**k).alias("i"), F.floor(F.col("y") / 4.0**k).alias("j")) for k in levels])
     keyed = rows.select("track_id", "site", "x", "y", F.inline(keys))
     met = keyed.join(cells, ["site", "level", "i", "j"])
     rings = sized(zones.where(F.col("zone_id").isNotNull()).select("zone_id", "ring_x", "ring_y"))
