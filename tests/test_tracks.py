@@ -68,6 +68,21 @@ def test_one_endless_track_is_cut_and_joined(spark, clips):
     assert abs(sum(t.distance_m for t in trips) / (1.4 * (6000 - 2200)) - 1) < 0.2
 
 
+def test_ends_are_the_same_at_any_rate(spark):
+    """One movement seen at 5 and at 50 rows a second: a long slow drift into the stop, which grows by many rows."""
+    rates = spark.createDataFrame([("c", "s", 5), ("d", "s", 50)], CLIPS)
+    ends = []
+    for track, clip, fps in ((1, "c", 5), (2, "d", 50)):
+        rows = []
+        for f in range(0, 400 * fps):
+            t = f / fps
+            x = 1.4 * (t - 100) if t < 100 else 0.02 * (t - 100) if t < 200 else 2.0 + 1.4 * (t - 200)
+            rows.append(("s", clip, track, "person", f, t, 5000.0 + x, 5000.0, 0.0, "people", AT))
+        ends.append(stops(stops_and_trips(spark.createDataFrame(rows, POINTS), rates)))
+    (a,), (b,) = ends
+    assert abs(a[1] - b[1]) <= 1.0 and abs(a[2] - b[2]) <= 1.0
+
+
 def test_stops_side_by_side(spark, clips):
     """Creeping back and forth about several spots: every stop stays within reach of its spot, and none overlap."""
     rng = np.random.default_rng(8)
