@@ -144,6 +144,50 @@ def test_spikes(spark, clips):
     assert {k for k, r in got.items() if r.stuck} - constant == set() and set(range(330, 337)) <= {k for k, r in got.items() if r.stuck}
 
 
+@pytest.mark.parametrize("slice_s", [60.0, 400.0, 1800.0])
+def test_stuck_runs_across_borders(spark, clips, slice_s):
+    """Runs of sparse rows: any number of slices, absences longer than the halo; the same rows at any slicing."""
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for track in range(4):
+        frames = np.cumsum(rng.choice([5, 700, 2500], 300)).tolist()
+        speed = rng.choice([0.0, 1.0, 1.5, 2.0], 300, p=[0.3, 0.5, 0.1, 0.1])
+        x = np.repeat(rng.uniform(4000, 4300, 50), 6) if track % 2 else rng.uniform(4000, 4300, 300)
+        for f, v, a in zip(frames, speed, x):
+            rows.append(row(track, int(f), float(a), float(rng.uniform(4000, 4300)), float(v)))
+        for value, zero in ((speed, False), (x, True)):
+            k = 0
+            while k < 300:
+                n = k
+                while n < 300 and value[n] == value[k]:
+                    n += 1
+                if n - k >= 6 and (zero or value[k] != 0):
+                    want |= {(track, int(f)) for f in frames[k:n]}
+                k = n
+    got = implausible_rows(spark.createDataFrame(rows, POINTS), clips, slice_s=slice_s).where("stuck")
+    assert {(r.track_id, r.frame) for r in got.collect()} == want and len(want) > 100
+
+
+def test_without_the_sparse_part_nothing_is_a_spike(spark, clips, monkeypatch):
+    """Candidates come from the decomposition alone."""
+    from trackloom.operators import spikes
+
+    rows = [(*r[:6], r[6] + 5000.0, r[7] + 5000.0, *r[8:]) for r in walk(1, seconds=200)]
+    rows[40] = row(1, rows[40][4], rows[40][6] + 15, rows[40][7], 1.4)
+    rows[220] = row(1, rows[220][4], rows[220][6], rows[220][7], 9.0)
+    part = {"track_id": np.ones(len(rows), np.int64), "slice": np.zeros(len(rows), np.int64), "frame": np.array([r[4] for r in rows]), "fps": np.full(len(rows), 10.0), "x": np.array([r[6] for r in rows]), "y": np.array([r[7] for r in rows])}
+    part |= {"speed": np.array([r[8] for r in rows]), "kind": np.ones(len(rows), int), "off": np.zeros(len(rows), bool), "own": np.ones(len(rows), bool)}
+    grams = spikes.slice_grams(part, 5.0, 12.0, 3.0)
+    basis = spikes.day_bases(grams, np.zeros((8, 2, 12, 12)))["basis"]
+    first = {k: np.concatenate(([{"frame": spikes.BASIS_ROW, "track_id": 1}.get(k, 0)], v)) for k, v in part.items()}
+    first["basis"] = np.array([basis[0]] + [None] * len(rows), object)
+    found = spikes.flag_rows(first, 6, 5.0, 12.0, 3.0)
+    assert 200 in found["frame"][found["position"]] and 1100 in found["frame"][found["speed"]]
+    monkeypatch.setattr(spikes, "sparse_part", lambda m, seen, basis, floor: np.zeros_like(m))
+    found = spikes.flag_rows(first, 6, 5.0, 12.0, 3.0)
+    assert not found["position"].any() and not found["speed"].any()
+
+
 def test_near_and_inside_against_brute_force(spark, clips):
     rng = np.random.default_rng(5)
     rows = []

@@ -112,7 +112,7 @@ def map_slices(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], dict[str
 
     out = StructType.fromDDL(schema)
     names = out.fieldNames()
-    kinds = {f.name: {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.simpleString()] for f in out}
+    kinds = {f.name: {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in out}
     target = pa.schema([(n, kinds[n]) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return implausible_rows(table(spark, sf, "points"), table(spark, sf, "clips"))
+    return implausible_rows(*[table(spark, sf, t) for t in ("points", "clips", "calibrations")])
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_trips, p4_found, p5_found, p5_flags)}
