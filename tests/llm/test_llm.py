@@ -257,6 +257,46 @@ def test_truncation_finds_planted_cuts(spark):
     assert rates["form"].n_at_limit > 50 and rates["form"].rate > rates["log"].rate > rates["mail"].rate
 
 
+def test_ends_are_read_whole_however_long():
+    """Marks, words and lines longer than any window."""
+    assert truncation.without_mark("and so on" + "." * 500) == "and so on"
+    assert truncation.without_mark("and so on" + " ..." * 300 + " [more]") == "and so on"
+    assert truncation.without_mark("a. " * 50 + "end") == "a. " * 50 + "end"
+    rng = random.Random(6)
+    for n in (1, 3, 50, 400, 3000):
+        line = " ".join("".join(rng.choice("abcdefg'1.,:") for _ in range(rng.randint(1, n))) for _ in range(8)) + " last words here"
+        for text in (line, "a line before\n" + line):
+            whole = truncation.TOKEN.findall(line)
+            assert truncation.last_tokens(text)[-4:] == whole[-4:]
+    long_word = "x" * 1000
+    assert truncation.last_tokens(long_word) == [long_word]
+    assert truncation.ending("short wo...")[0] == "marked-ask"
+
+
+def test_filter_holds_what_was_asked(spark):
+    keys = [random.Random(1).getrandbits(63) * (-1) ** k for k in range(5000)]
+    bits = truncation.asked_filter(spark.createDataFrame([(k,) for k in keys], "key long").repartition(5), len(keys))
+    known = np.array(keys, np.int64).view(np.uint64)
+    assert len(truncation.might_hold(bits, known)) == len(keys)
+    others = np.random.default_rng(2).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    assert len(truncation.might_hold(bits, others)) < 5_000
+    texts = [" ".join(random.Random(k).choice(SENTENCES) for _ in range(6)) + "\n- item one\n- item two" for k in range(40)]
+    key, ends, on = truncation.word_runs(texts, truncation._Words())
+    half = {int(k): (int(e), int(g)) for k, e, g in zip(key[::2], ends[::2], on[::2])}
+    bits = truncation.asked_filter(spark.createDataFrame([(k,) for k in half], "key long"), len(half))
+    got = {int(k): (int(e), int(g)) for k, e, g in zip(*truncation.word_runs(texts, truncation._Words(), bits))}
+    assert half.items() <= got.items() and len(got) < len(key)
+
+
+def test_rules_are_named(spark):
+    docs, _ = documents()
+    extra = [(2004, '{"a": [1, 2', "log"), (2009, "We filmed the fountain for two hours and the ...", "log")]
+    got = {r.doc_id: r.by for r in truncation.classified(spark.createDataFrame(docs + extra, DOCS)).where("truncated").collect()}
+    assert got[2004] == "structure" and got[2009] == "mark" and {"limit", "ending"} <= set(got.values())
+    at = {r.doc_id for r in truncation.documents_at_limit(spark.createDataFrame(docs + extra, DOCS)).collect()}
+    assert {d for d, by in got.items() if by == "limit"} <= at
+
+
 def test_truncation_of_nothing(spark):
     assert truncation.truncated_documents(spark.createDataFrame([], DOCS)).count() == 0
     assert truncation.truncation_rates(spark.createDataFrame([(1, None, None)], DOCS)).collect()[0].rate == 0.0

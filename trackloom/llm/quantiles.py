@@ -47,6 +47,18 @@ def answers(sketched: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, k
     return sketched.select("*", *columns, F.when(F.col("n") <= k, 0.0).otherwise(rank_error(k)).alias("rank_error")).drop("sketch")
 
 
+def labelled_speeds(points: DataFrame) -> DataFrame:
+    """clip, group, class, speed of the rows that count; group and class are those that most rows of the track name, else 'unknown'."""
+    labels = sized(cut_lineage(track_labels(points)))
+    rows = rows_that_count(points, ["clip"], {"speed": F.col("speed")}).join(labels, "track_id")
+    group, name = F.lit("unknown"), F.lit("unknown")
+    for i, g in enumerate(GROUPS, 1):
+        group = F.when(F.col("g") == i, g).otherwise(group)
+    for i, c in enumerate(CLASSES, 1):
+        name = F.when(F.col("kind") == i, c).otherwise(name)
+    return rows.select("clip", group.alias("group"), name.alias("class"), "speed")
+
+
 def speed_percentiles(points: DataFrame, clips: DataFrame, k: int = K) -> DataFrame:
     """level, clip, day, group, class, n, p05 .. p99, rank_error of speed.
 
@@ -56,14 +68,7 @@ def speed_percentiles(points: DataFrame, clips: DataFrame, k: int = K) -> DataFr
     from the same sketches per clip. Repeated rows count once; null and NaN speeds are left out,
     impossible ones are kept as recorded. An empty table gives no rows.
     """
-    labels = sized(cut_lineage(track_labels(points)))
-    rows = rows_that_count(points, ["clip"], {"speed": F.col("speed")}).join(labels, "track_id")
-    group, name = F.lit("unknown"), F.lit("unknown")
-    for i, g in enumerate(GROUPS, 1):
-        group = F.when(F.col("g") == i, g).otherwise(group)
-    for i, c in enumerate(CLASSES, 1):
-        name = F.when(F.col("kind") == i, c).otherwise(name)
-    base = sketches(rows, ["clip", "g", "kind"], "speed", k).withColumn("group", group).withColumn("class", name)
+    base = sketches(labelled_speeds(points), ["clip", "group", "class"], "speed", k)
     days = clips.where(F.col("clip").isNotNull()).groupBy("clip").agg(F.max(F.to_date("started_at")).alias("day"))
     base = cut_lineage(base.join(sized(days), "clip", "left").select("clip", "day", "group", "class", "n", "sketch"))
     out = None
@@ -82,3 +87,25 @@ def speed_percentiles(points: DataFrame, clips: DataFrame, k: int = K) -> DataFr
             )
             out = part if out is None else out.unionByName(part)
     return answers(out, PERCENTILES, k)
+
+
+def within_bound(points: DataFrame, clips: DataFrame, times: float = 2.0, k: int = K) -> DataFrame:
+    """label, name, percentile, n, within: whether each answer over all rows has a true rank within times the stated error.
+
+    The true ranks are counted over all rows; rows equal to the answer give an interval of ranks.
+    """
+    rows = labelled_speeds(points).where("speed is not null and not isnan(speed)")
+    names = [f"p{round(100 * p):02d}" for p in PERCENTILES]
+    found = cut_lineage(speed_percentiles(points, clips, k).where("level = 'all'"))
+    out = None
+    for label in ("group", "class"):
+        # one answer per group or class: a dozen rows
+        given = found.where(F.col(label).isNotNull()).select(F.col(label).alias("_name"), "rank_error", *[F.col(c).alias(f"_{c}") for c in names])
+        met = rows.join(sized(given), rows[label] == given["_name"])
+        counts = [F.sum((F.col("speed") < F.col(f"_{c}")).cast("long")).alias(f"lt_{c}") for c in names] + [F.sum((F.col("speed") <= F.col(f"_{c}")).cast("long")).alias(f"le_{c}") for c in names]
+        per = met.groupBy("_name").agg(F.count("*").alias("n"), F.max("rank_error").alias("e"), *counts)
+        e = F.col("e") * times + 1.0 / F.col("n")
+        each = F.array(*[F.struct(F.lit(float(p)).alias("percentile"), ((F.col(f"lt_{c}") / F.col("n") - e <= p) & (F.col(f"le_{c}") / F.col("n") + e >= p)).alias("within")) for p, c in zip(PERCENTILES, names)])
+        part = per.select(F.lit(label).alias("label"), F.col("_name").alias("name"), "n", F.inline(each))
+        out = part if out is None else out.unionByName(part)
+    return out
