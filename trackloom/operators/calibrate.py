@@ -275,9 +275,23 @@ def smoothed_registration(matrices: DataFrame, value: str, half: int = 3, sigma:
     return s.withColumn(value, F.when(total > 0, top / total)).drop("_p", "_q", "_v")
 
 
-def place_camera(place: dict, floor: float, floor_m: float = 3.1, eye_m: float = 1.5) -> dict:
-    """CAL-23: a camera's position from a place and the floor it stands on."""
-    return {"E": float(place["E"]), "N": float(place["N"]), "height_m": floor * floor_m + eye_m, "position_tol_m": 15.0, "height_tol_m": floor_m}
+def place_camera(place: dict, floor: float | None = None, floor_m: float = 3.1, eye_m: float = 1.5, ground_m: float = 0.0) -> dict:
+    """CAL-23: a camera's position from a place (E, N, size_m if known) and the floor it stands on, the ground floor if not said.
+
+    Anywhere in the building will do, so half its size is the tolerance, 5 m at least; of the height it
+    is 6 %, 1 m at least. A place without a size counts as 20 m wide.
+    """
+    height = ground_m + eye_m + floor_m * (0 if floor is None else floor)
+    reach, rise = max(5.0, place.get("size_m", 20.0) / 2), max(1.0, 0.06 * height)
+    return {"E": place["E"], "N": place["N"], "height_m": round(height, 1), "position_tol_m": round(reach, 1), "height_tol_m": round(rise, 1)}
+
+
+def placed_cameras(places: DataFrame, floor_m: float = 3.1, eye_m: float = 1.5) -> DataFrame:
+    """CAL-23 for many: places (E, N, size_m, floor, ground_m; the last three may be null) with height_m, position_tol_m, height_tol_m."""
+    height = F.coalesce("ground_m", F.lit(0.0)) + eye_m + floor_m * F.coalesce("floor", F.lit(0.0))
+    tenth = lambda c: F.round(c, 1)
+    p = places.withColumn("_h", height).withColumn("height_m", tenth(F.col("_h")))
+    return p.withColumn("position_tol_m", tenth(F.greatest(F.lit(5.0), F.coalesce("size_m", F.lit(20.0)) / 2))).withColumn("height_tol_m", tenth(F.greatest(F.lit(1.0), 0.06 * F.col("_h")))).drop("_h")
 
 
 def reports(fitted: DataFrame, warn_m: float = 0.5) -> DataFrame:

@@ -82,6 +82,17 @@ def agreement_pairs(fields: DataFrame, keys: list[str], agree_deg: float = 30.0)
     return j.groupBy(*keys, "clip_a", "clip_b").agg(F.count("*").alias("shared_cells"), F.percentile("angle", 0.5).alias("median_angle_deg"), F.avg((F.col("angle") <= agree_deg).cast("double")).alias("agree_share"), F.percentile("ratio", 0.5).alias("median_speed_ratio"))
 
 
+def median_intervals(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _interval: the median of dt over the samples, from how often each of the few intervals occurs."""
+    n = points.groupBy(*keys, "dt").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    n = n.withColumn("_to", F.sum("_n").over(w.orderBy("dt"))).withColumn("_all", F.sum("_n").over(w))
+    # the two middle samples, which are one if their number is odd
+    lower = F.min(F.when(F.col("_to") > F.floor((F.col("_all") - 1) / 2), F.col("dt")))
+    upper = F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("dt")))
+    return n.groupBy(*keys).agg(((lower + upper) / 2).alias("_interval"))
+
+
 def master(points: DataFrame, keys: list[str], groups: list[str], cell: float, smooth: float) -> DataFrame:
     """CMP-07: the pooled field, each group's columns beside it (as an outer join gives them), and the group with most density.
 
@@ -89,7 +100,9 @@ def master(points: DataFrame, keys: list[str], groups: list[str], cell: float, s
     """
     p = points.where(~F.col("pred") & F.col("grp").isin(groups))
     # one pass for the pool, as group '', and the groups
-    both = V.smooth_field(p.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit("")))), [*keys, "grp"], cell, smooth, F.col("dt"), bound_keys=keys)
+    p = p.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit(""))))
+    p = p.join(sized(median_intervals(p, [*keys, "grp"])), [*keys, "grp"])
+    both = V.smooth_field(p, [*keys, "grp"], cell, smooth, F.col("_interval"), bound_keys=keys)
     columns = ("vx", "vy", "speed", "density", "confidence", "weight")
     out = both.groupBy(*keys, "i", "j").agg(*[F.max(F.when(F.col("grp") == g, F.col(c))).alias(f"{g}_{c}" if g else c) for g in ["", *groups] for c in columns])
     dens = [F.coalesce(f"{g}_density", F.lit(0.0)) for g in groups]

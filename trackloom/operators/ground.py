@@ -165,11 +165,13 @@ def filled_terrain(terrain: DataFrame) -> DataFrame:
 
 
 def ray_cast(rays: DataFrame, grid: np.ndarray, left: float, top: float, res: float, datum: float, max_range: float = 1500.0, step: float = 0.5, halvings: int = 8) -> DataFrame:
-    """PRJ-08: gx, gy, gz where rays (ox, oy, oz, dx, dy, dz) first meet the terrain, else null.
+    """PRJ-08: gx, gy, gz where rays (ox, oy, oz, dx, dy, dz) first go below the terrain, else null.
 
-    The raster is small by its nature (one site) and travels with the function; outside of it the
-    ground is the datum. Rays are marched together, block by block, then halved; each only where it
-    is between the highest and the lowest ground, on the same steps as from its start.
+    Steps are counted across the ground, from where a ray comes down to the highest ground to where it
+    has passed the lowest; a level or rising ray is followed to max_range if it starts below the highest
+    ground. A ray that starts underground has to surface first. The middle of the last halved step is
+    the hit. The raster is small by its nature (one site) and travels with the function; outside of it
+    the ground is the datum. All rays of a batch take a step together.
     """
     grid = np.asarray(grid, float)
     known = np.append(grid[np.isfinite(grid)], datum)
@@ -187,29 +189,36 @@ def ray_cast(rays: DataFrame, grid: np.ndarray, left: float, top: float, res: fl
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             o, d = f[["ox", "oy", "oz"]].to_numpy(float), f[["dx", "dy", "dz"]].to_numpy(float)
-            d = d / np.linalg.norm(d, axis=1, keepdims=True)
-            hit = np.full(len(f), np.nan)
-            oz, dz = o[:, 2], d[:, 2]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                enter = np.where(dz < 0, np.clip((oz - highest) / -dz, 0.0, max_range), 0.0)
-                leave = np.where(dz < 0, (oz - lowest) / -dz + step, np.where(dz > 0, (highest - oz) / dz, np.where(oz <= highest, max_range, -1.0)))
-            # number of the step before the first that counts, and of the last
-            k = np.maximum(np.floor(enter / step) - 1, 0)
-            last = np.minimum(np.ceil(np.clip(leave, -step, max_range) / step) + 1, np.ceil(max_range / step))
-            live = np.flatnonzero(k < last)
+            # a metre across the ground
+            d = d / np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-9)[:, None]
+            oz, slope = o[:, 2], d[:, 2]
+
+            def above(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+                """How far rays n are above the ground at s metres across it."""
+                return oz[n] + slope[n] * s - height(o[n, 0] + d[n, 0] * s, o[n, 1] + d[n, 1] * s)
+
+            down = slope < 0
+            fall = np.where(down, -slope, 1.0)
+            enter = np.where(down, (oz - highest) / fall - step, 0.0).clip(0.0, max_range)
+            leave = np.where(down, (oz - lowest) / fall + step, np.where(oz < highest, max_range, 0.0)).clip(0.0, max_range)
+            lo, hi = np.full(len(f), np.nan), np.full(len(f), np.nan)
+            live = np.flatnonzero(leave > enter)
+            at = enter[live]
+            out = above(live, at) >= -1e-6
             while len(live):
-                k[live] += 1
-                p = o[live] + d[live] * (k[live] * step)[:, None]
-                below = p[:, 2] <= height(p[:, 0], p[:, 1])
-                hit[live[below]] = k[live[below]] * step
-                live = live[~below & (k[live] < last[live])]
-            lo, hi = hit - step, hit.copy()
+                on = np.minimum(at + step, leave[live])
+                under = above(live, on) <= 0
+                met = out & under
+                lo[live[met]], hi[live[met]] = at[met], on[met]
+                more = ~met & (on < leave[live])
+                live, at, out = live[more], on[more], ~under[more]
+            hit = np.flatnonzero(np.isfinite(hi))
             for _ in range(halvings):
-                mid = (lo + hi) / 2
-                p = o + d * np.nan_to_num(mid)[:, None]
-                below = p[:, 2] <= height(p[:, 0], p[:, 1])
-                hi, lo = np.where(below, mid, hi), np.where(below, lo, mid)
-            p = o + d * hi[:, None]
+                mid = (lo[hit] + hi[hit]) / 2
+                up = above(hit, mid) > 0
+                lo[hit], hi[hit] = np.where(up, mid, lo[hit]), np.where(up, hi[hit], mid)
+            s = (lo + hi) / 2
+            p = o + d * s[:, None]
             yield f.assign(gx=p[:, 0], gy=p[:, 1], gz=p[:, 2])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rays.dtypes) + ", gx double, gy double, gz double"

@@ -23,12 +23,11 @@ def longest_runs(points: DataFrame, moving: float = 0.4) -> DataFrame:
 
 
 def first_crossing(points: DataFrame, value: str, level: float) -> DataFrame:
-    """GT-02: per track the time at which value first reaches level from below, between rows."""
+    """GT-02: per track the time at which value first is at or above level, between rows; a track that begins there gives its first time."""
     w = Window.partitionBy(*TRACK).orderBy("frame")
-    before, t0 = F.lag(value).over(w), F.lag("t").over(w)
-    p = points.withColumn("_b", before).withColumn("_t", t0).where((F.col("_b") < level) & (F.col(value) >= level))
-    at = F.col("_t") + (level - F.col("_b")) / (F.col(value) - F.col("_b")) * (F.col("t") - F.col("_t"))
-    return p.groupBy(*TRACK).agg(F.min_by(at, "frame").alias("time_s"))
+    p = points.where(F.col(value).isNotNull()).withColumn("_b", F.lag(value).over(w)).withColumn("_t", F.lag("t").over(w)).where(F.col(value) >= level)
+    at = F.col("_t") + (level - F.col("_b")) / F.greatest(F.col(value) - F.col("_b"), F.lit(1e-12)) * (F.col("t") - F.col("_t"))
+    return p.groupBy(*TRACK).agg(F.min_by(F.coalesce(at, F.col("t")), "frame").alias("time_s"))
 
 
 def walks(points: DataFrame) -> DataFrame:
@@ -60,11 +59,54 @@ def against(walked: DataFrame, known: DataFrame) -> DataFrame:
     return w.withColumn("length_error_pct", 100 * (F.col("length_m") - F.col("_l")) / F.col("_l")).withColumn("reference_speed", ref).withColumn("speed_error_pct", 100 * (F.col("mean_walking_speed") - ref) / ref).drop("_l", "_t")
 
 
+def surveyed(points: DataFrame, known: DataFrame) -> DataFrame:
+    """GT-03 with a surveyed line: known (clip, track_id, ax, ay, bx, by, length_m, stopwatch_s; the last two may be null).
+
+    Per track: start_error_m and end_error_m of the standing places; of the walk's rows the signed mean,
+    root mean square, largest and own scatter of the distance from the line; length_error_pct against
+    length_m, else the line's length; and the measured speed against a reference speed. That is the
+    length by the stopwatch, else 80 % of it by the time between 10 and 90 % of the way from one
+    standing place to the other, which the smoothed start and stop don't touch, else the length by the
+    walking time. Tracks that never move are left out.
+    """
+    w = walks(points).select(*TRACK, "x_a", "y_a", "x_b", "y_b", "walking_time_s", F.col("length_m").alias("measured_m"))
+    k = known.select(*TRACK, "ax", "ay", "bx", "by", "length_m", "stopwatch_s")
+    line = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    facts = w.join(k, TRACK).join(longest_runs(points).drop("rows"), TRACK).withColumn("_line", line).withColumn("known_m", F.coalesce("length_m", "_line")).drop("length_m")
+    p = points.select(*TRACK, "frame", "t", "x", "y", "speed").join(facts, TRACK)
+    way = ((F.col("x") - F.col("x_a")) * (F.col("x_b") - F.col("x_a")) + (F.col("y") - F.col("y_a")) * (F.col("y_b") - F.col("y_a"))) / F.greatest(F.col("measured_m") ** 2, F.lit(1e-9))
+    p = p.withColumn("_u", way)
+    w_ = Window.partitionBy(*TRACK).orderBy("frame")
+    before, earlier = F.lag("_u").over(w_), F.lag("t").over(w_)
+    p = p.withColumn("_ub", before).withColumn("_tb", earlier)
+    walking = F.col("frame").between(F.col("first_frame"), F.col("last_frame"))
+    whole = Window.partitionBy(*TRACK)
+    for name, level in (("_t10", 0.1), ("_t90", 0.9)):
+        at = F.coalesce(F.col("_tb") + (level - F.col("_ub")) / F.greatest(F.col("_u") - F.col("_ub"), F.lit(1e-12)) * (F.col("t") - F.col("_tb")), F.col("t"))
+        p = p.withColumn(name, F.min_by(F.when(F.col("_u") >= level, at), F.when(F.col("_u") >= level, F.col("frame"))).over(whole))
+    middle = F.col("stopwatch_s").isNull() & F.coalesce(F.col("_t90") > F.col("_t10"), F.lit(False))
+    counted = F.when(middle, F.col("t").between(F.col("_t10"), F.col("_t90"))).otherwise(walking)
+    aside = ((F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) - (F.col("x") - F.col("ax")) * (F.col("by") - F.col("ay"))) / F.col("_line")
+    aside = F.when(walking, aside)
+    g = p.groupBy(*TRACK, *[c for c in facts.columns if c not in TRACK]).agg(
+        F.avg(aside).alias("lateral_mean_m"), F.sqrt(F.avg(aside * aside)).alias("lateral_rms_m"), F.max(F.abs(aside)).alias("lateral_max_m"), F.stddev_pop(aside).alias("lateral_own_rms_m"),
+        F.avg(F.when(counted, F.col("speed"))).alias("measured_speed"), F.max(F.when(middle, F.col("_t90") - F.col("_t10"))).alias("_middle_s"),
+    )
+    reference = F.when(F.col("stopwatch_s").isNotNull(), F.col("known_m") / F.col("stopwatch_s")).when(F.col("_middle_s").isNotNull(), 0.8 * F.col("known_m") / F.col("_middle_s")).otherwise(F.col("known_m") / F.col("walking_time_s"))
+    far = lambda s, e: F.sqrt((F.col(f"x_{s}") - F.col(f"{e}x")) ** 2 + (F.col(f"y_{s}") - F.col(f"{e}y")) ** 2)
+    g = g.withColumn("reference_speed", reference)
+    return g.select(
+        *TRACK, far("a", "a").alias("start_error_m"), far("b", "b").alias("end_error_m"), "lateral_mean_m", "lateral_rms_m", "lateral_max_m", "lateral_own_rms_m", F.col("measured_m").alias("length_m"),
+        (100 * (F.col("measured_m") - F.col("known_m")) / F.col("known_m")).alias("length_error_pct"), "reference_speed", "measured_speed",
+        (100 * (F.col("measured_speed") - F.col("reference_speed")) / F.col("reference_speed")).alias("speed_error_pct"),
+    )
+
+
 def verdicts(errors: DataFrame) -> DataFrame:
-    """GT-04: pass if lateral, length and speed errors are all within their limits; else what isn't."""
-    faults = F.array_compact(F.array(
-        F.when(F.col("lateral_rms_m") > LATERAL_M, "lateral"), F.when(F.abs("length_error_pct") > LENGTH_PCT, "length"), F.when(F.abs("speed_error_pct") > SPEED_PCT, "speed")
-    ))
+    """GT-04: pass if the errors of lateral, length, speed and, where known, both ends lie below their limits; else what doesn't."""
+    faults = [F.when(F.col("lateral_rms_m") >= LATERAL_M, "lateral"), F.when(F.abs("length_error_pct") >= LENGTH_PCT, "length"), F.when(F.abs("speed_error_pct") >= SPEED_PCT, "speed")]
+    faults += [F.when(F.col(f"{end}_error_m") >= ENDS_M, end) for end in ("start", "end") if f"{end}_error_m" in errors.columns]
+    faults = F.array_compact(F.array(*faults))
     return errors.withColumn("verdict", F.when(F.size(faults) == 0, "pass").otherwise(F.array_join(faults, "+")))
 
 

@@ -94,18 +94,13 @@ def process(boxes: DataFrame, cameras: DataFrame, groups: DataFrame, settings: S
     fixed = s.groupBy(*key, "cls", "grp", "tracker_ids", "stride", "fps", "smooth_s", "offset_m", "range_m", "height_m").agg(F.avg(F.col("feet_hidden").cast("double")).alias("feet_hidden_share"))
     dense = C.densified(s, F.col("stride").cast("long"), key).join(fixed, key)
     known = F.coalesce(F.col("height_m") != 0, F.lit(False)) & F.lit(settings.radial_smoothing)
-    plain = cameras.where(~known)
-    widths = sorted({C.savgol_width(r["smooth_s"], r["dt"]) for r in groups.select("smooth_s").distinct().crossJoin(F.broadcast(plain.select((F.col("stride") / F.col("fps")).alias("dt")).distinct())).collect()})
     # halves round to even, as savgol_width does
     w = F.greatest(F.bround(F.col("smooth_s") / (F.col("stride") / F.col("fps"))), F.lit(4.0)).cast("int")
     dense = dense.withColumn("_w", w + F.when(w % 2 == 0, 1).otherwise(0))
     # as in the reference, about the camera wherever its height is known; it stands over (0, 0)
     dt = F.col("stride") / F.col("fps")
     smooth = C.smoothed_radially(dense.where(known), F.col("_w"), dt, (0.0, 0.0, F.col("height_m")), key, span=F.col("smooth_s") / dt)
-    dense = dense.where(~known)
-    for width in widths:
-        part = C.smoothed(dense.where(F.col("_w") == width), width, F.col("stride") / F.col("fps"), key)
-        smooth = smooth.unionByName(part.select(*smooth.columns))
+    smooth = smooth.unionByName(C.smoothed(dense.where(~known), F.col("_w"), dt, key).select(*smooth.columns))
     p = C.with_headings(smooth, settings.min_moving_speed, key)
     p = G.centred(p, F.col("offset_m")).withColumn("speed", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2))
     p = p.withColumn("beyond_limit", F.coalesce(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) > F.col("range_m"), F.lit(False)))

@@ -122,3 +122,39 @@ def map_slices(df: DataFrame, kernel: Callable[[dict[str, np.ndarray]], dict[str
                 yield pa.RecordBatch.from_arrays([pa.array(got[n], type=kinds[n]) for n in names], schema=target)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+
+
+def map_columns(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table], dict[str, np.ndarray]], doubles: list[str], keep: str | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """df with the columns doubles as kernel gives them for whole groups of keys, many at a time, each in the given order.
+
+    All other columns go through as they are, nulls and all. keep names a boolean column, of df or of
+    what kernel gives, by which rows are kept; it is dropped.
+    """
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    names = [c for c in df.columns if c != keep] + [c for c in doubles if c not in df.columns]
+    kinds = {f.name: f for f in df.schema}
+    out = StructType([StructField(n, DoubleType()) if n in doubles else kinds[n] for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, keys, rows):
+            for n, v in kernel(table).items():
+                v = pa.array(v)
+                at = table.schema.get_field_index(n)
+                table = table.append_column(n, v) if at < 0 else table.set_column(at, n, v)
+            if keep:
+                table = table.filter(table[keep])
+            yield from table.select(names).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """True where a group of equal keys begins."""
+    out = np.ones(table.num_rows, bool)
+    out[1:] = False
+    for k in keys:
+        v = table[k].combine_chunks()
+        v = v.dictionary_encode().indices.to_numpy(zero_copy_only=False) if pa.types.is_string(v.type) else v.to_numpy(zero_copy_only=False)
+        out[1:] |= v[1:] != v[:-1]
+    return out

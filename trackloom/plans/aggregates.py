@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import aggregate as A
+from ..session import sized
 from ..sources.tables import table
 from .base import BOXES, POINTS, boxes, points, r, sql
 from .registry import query
@@ -132,7 +133,7 @@ def agg12_hidden_feet_share(spark: SparkSession, sf: str) -> DataFrame:
 
 def zone_edges(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Edges of the zones of a kind in local metres."""
-    z = table(spark, sf, "zones").where(F.col("kind") == kind).join(F.broadcast(table(spark, sf, "calibrations").select("site", "origin_e", "origin_n")), "site")
+    z = table(spark, sf, "zones").where(F.col("kind") == kind).join(sized(table(spark, sf, "calibrations").select("site", "origin_e", "origin_n")), "site")
     e = z.select("site", "zone_id", "ring_x", "ring_y", "origin_e", "origin_n", F.explode(F.sequence(F.lit(0), F.size("ring_x") - 1)).alias("k"))
     nxt = (F.col("k") + 1) % F.size("ring_x")
     return e.select("site", "zone_id", *[(F.get(f"ring_{c}", k) - F.col(o)).alias(n) for n, c, k, o in (("ax", "x", F.col("k"), "origin_e"), ("ay", "y", F.col("k"), "origin_n"), ("bx", "x", nxt, "origin_e"), ("by", "y", nxt, "origin_n"))])

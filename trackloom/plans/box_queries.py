@@ -38,7 +38,7 @@ def det03_without_riders(spark: SparkSession, sf: str) -> DataFrame:
 
 def sized_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes with the size of their clip's picture and the clip's fps."""
-    size = table(spark, sf, "clips").join(F.broadcast(table(spark, sf, "calibrations").select("site", "image_w", "image_h")), "site").select("clip", "image_w", "image_h", F.col("fps").cast("double").alias("fps"), F.col("vid_stride").cast("double").alias("stride"))
+    size = table(spark, sf, "clips").join(sized(table(spark, sf, "calibrations").select("site", "image_w", "image_h")), "site").select("clip", "image_w", "image_h", F.col("fps").cast("double").alias("fps"), F.col("vid_stride").cast("double").alias("stride"))
     return boxes(spark, sf).join(sized(size), "clip")
 
 

@@ -192,7 +192,8 @@ def gt01_longest_runs(spark: SparkSession, sf: str) -> DataFrame:
     return T.longest_runs(points(spark, sf))
 
 
-@query(sql(POINTS, "l AS (SELECT *, lag(speed) OVER w AS b, lag(t) OVER w AS t0 FROM p WINDOW w AS (PARTITION BY clip, track_id ORDER BY frame))", then=f"SELECT clip, track_id, {r('arg_min(t0 + (1.0 - b) / (speed - b) * (t - t0), frame)')} AS time_s FROM l WHERE b < 1.0 AND speed >= 1.0 GROUP BY ALL"))
+@query(sql(POINTS, "l AS (SELECT *, lag(speed) OVER w AS b, lag(t) OVER w AS t0 FROM p WHERE speed IS NOT NULL WINDOW w AS (PARTITION BY clip, track_id ORDER BY frame))",
+           then=f"SELECT clip, track_id, {r('arg_min(coalesce(t0 + (1.0 - b) / greatest(speed - b, 1e-12) * (t - t0), t), frame)')} AS time_s FROM l WHERE speed >= 1.0 GROUP BY ALL"))
 def gt02_first_crossing(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(T.first_crossing(points(spark, sf), "speed", 1.0))
 
@@ -213,13 +214,49 @@ def gt03_walks(spark: SparkSession, sf: str) -> DataFrame:
 _ERR = "er AS (SELECT *, 100 * (length_m - 40.0) / 40.0 AS length_error_pct, 40.0 / 30.0 AS reference_speed, 100 * (mean_walking_speed - 40.0 / 30.0) / (40.0 / 30.0) AS speed_error_pct FROM wk)"
 
 
-@query(sql(POINTS, *_WALK, _ERR, then=f"SELECT clip, track_id, {r('length_error_pct', 3)} AS length_error_pct, {r('speed_error_pct', 3)} AS speed_error_pct, CASE WHEN concat_ws('+', CASE WHEN lateral_rms_m > 0.30 THEN 'lateral' END, CASE WHEN abs(length_error_pct) > 3.0 THEN 'length' END, CASE WHEN abs(speed_error_pct) > 5.0 THEN 'speed' END) = '' THEN 'pass' ELSE concat_ws('+', CASE WHEN lateral_rms_m > 0.30 THEN 'lateral' END, CASE WHEN abs(length_error_pct) > 3.0 THEN 'length' END, CASE WHEN abs(speed_error_pct) > 5.0 THEN 'speed' END) END AS verdict FROM er"))
+@query(sql(POINTS, *_WALK, _ERR, then=f"SELECT clip, track_id, {r('length_error_pct', 3)} AS length_error_pct, {r('speed_error_pct', 3)} AS speed_error_pct, CASE WHEN concat_ws('+', CASE WHEN lateral_rms_m >= 0.30 THEN 'lateral' END, CASE WHEN abs(length_error_pct) >= 3.0 THEN 'length' END, CASE WHEN abs(speed_error_pct) >= 5.0 THEN 'speed' END) = '' THEN 'pass' ELSE concat_ws('+', CASE WHEN lateral_rms_m >= 0.30 THEN 'lateral' END, CASE WHEN abs(length_error_pct) >= 3.0 THEN 'length' END, CASE WHEN abs(speed_error_pct) >= 5.0 THEN 'speed' END) END AS verdict FROM er"))
 def gt04_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     known = p.select("clip", "track_id").distinct().withColumn("length_m", F.lit(40.0)).withColumn("time_s", F.lit(30.0))
     return rnd(T.verdicts(T.against(T.walks(p), known)).select("clip", "track_id", "length_error_pct", "speed_error_pct", "verdict"), 3)
 
 
+#: A line from 1 m beside the first standing place to the last one, a length for every other track and a stopwatch for every third.
+_SURVEYED = [
+    "kn AS (SELECT clip, track_id, x_a + 1.0 AS lax, y_a AS lay, x_b AS lbx, y_b + 0.25 AS lby, CASE WHEN track_id % 2 = 0 THEN length_m * 1.02 END AS kl, CASE WHEN track_id % 3 = 0 THEN walking_time_s * 1.01 END AS sw FROM wk WHERE length_m > 2 AND walking_time_s > 0)",
+    "fa AS (SELECT kn.*, wk.x_a, wk.y_a, wk.x_b, wk.y_b, wk.length_m, wk.walking_time_s, sqrt((lbx - lax) * (lbx - lax) + (lby - lay) * (lby - lay)) AS line, coalesce(kl, sqrt((lbx - lax) * (lbx - lax) + (lby - lay) * (lby - lay))) AS known_m, first_frame, last_frame FROM kn JOIN wk USING (clip, track_id) JOIN rn USING (clip, track_id))",
+    "pu AS (SELECT p.clip, p.track_id, p.frame, p.t, p.x, p.y, p.speed, fa.* EXCLUDE (clip, track_id), ((x - x_a) * (x_b - x_a) + (y - y_a) * (y_b - y_a)) / greatest(length_m * length_m, 1e-9) AS u FROM p JOIN fa ON fa.clip = p.clip AND fa.track_id = p.track_id)",
+    "pb AS (SELECT *, lag(u) OVER w AS ub, lag(t) OVER w AS tb FROM pu WINDOW w AS (PARTITION BY clip, track_id ORDER BY frame))",
+    "cr AS (SELECT clip, track_id, " + ", ".join(f"arg_min(coalesce(tb + ({q} - ub) / greatest(u - ub, 1e-12) * (t - tb), t), frame) FILTER (WHERE u >= {q}) AS t{n}" for n, q in ((10, 0.1), (90, 0.9))) + " FROM pb GROUP BY clip, track_id)",
+    "pm AS (SELECT pu.*, t10, t90, sw IS NULL AND coalesce(t90 > t10, false) AS mid, frame BETWEEN first_frame AND last_frame AS go, ((y - lay) * (lbx - lax) - (x - lax) * (lby - lay)) / line AS d FROM pu JOIN cr USING (clip, track_id))",
+    "sv AS (SELECT clip, track_id, any_value(sqrt((x_a - lax) * (x_a - lax) + (y_a - lay) * (y_a - lay))) AS start_error_m, any_value(sqrt((x_b - lbx) * (x_b - lbx) + (y_b - lby) * (y_b - lby))) AS end_error_m, "
+    "avg(d) FILTER (WHERE go) AS lateral_mean_m, sqrt(avg(d * d) FILTER (WHERE go)) AS lateral_rms_m, max(abs(d)) FILTER (WHERE go) AS lateral_max_m, stddev_pop(d) FILTER (WHERE go) AS lateral_own_rms_m, "
+    "any_value(100 * (length_m - known_m) / known_m) AS length_error_pct, any_value(CASE WHEN sw IS NOT NULL THEN known_m / sw WHEN mid THEN 0.8 * known_m / (t90 - t10) ELSE known_m / walking_time_s END) AS reference_speed, "
+    "avg(speed) FILTER (WHERE CASE WHEN mid THEN t BETWEEN t10 AND t90 ELSE go END) AS measured_speed FROM pm GROUP BY clip, track_id)",
+]
+_SURVEY_COLUMNS = ["start_error_m", "end_error_m", "lateral_mean_m", "lateral_rms_m", "lateral_max_m", "lateral_own_rms_m", "length_error_pct", "reference_speed", "measured_speed"]
+
+
+def surveyed(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    w = T.walks(p).where("length_m > 2 and walking_time_s > 0")
+    known = w.select("clip", "track_id", (F.col("x_a") + 1.0).alias("ax"), F.col("y_a").alias("ay"), F.col("x_b").alias("bx"), (F.col("y_b") + 0.25).alias("by"), F.when(F.col("track_id") % 2 == 0, F.col("length_m") * 1.02).alias("length_m"), F.when(F.col("track_id") % 3 == 0, F.col("walking_time_s") * 1.01).alias("stopwatch_s"))
+    return T.surveyed(p, known)
+
+
+@query(sql(POINTS, *_WALK, *_SURVEYED, then="SELECT clip, track_id, " + ", ".join(f"{r(c, 3)} AS {c}" for c in _SURVEY_COLUMNS) + " FROM sv"))
+def gt03_surveyed_walks(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(surveyed(spark, sf).select("clip", "track_id", *_SURVEY_COLUMNS), 3)
+
+
+_FAULTS = "concat_ws('+', CASE WHEN lateral_rms_m >= 0.30 THEN 'lateral' END, CASE WHEN abs(length_error_pct) >= 3.0 THEN 'length' END, CASE WHEN abs(100 * (measured_speed - reference_speed) / reference_speed) >= 5.0 THEN 'speed' END, CASE WHEN start_error_m >= 0.5 THEN 'start' END, CASE WHEN end_error_m >= 0.5 THEN 'end' END)"
+
+
+@query(sql(POINTS, *_WALK, *_SURVEYED, then=f"SELECT clip, track_id, CASE WHEN {_FAULTS} = '' THEN 'pass' ELSE {_FAULTS} END AS verdict FROM sv"))
+def gt04_surveyed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return T.verdicts(surveyed(spark, sf)).select("clip", "track_id", "verdict")
+
+
 @query(sql(POINTS, "pp AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS s, ((x + 20.0) * 40.0 + (y - 30.0) * 30.0) / 2500.0 AS u FROM p WHERE cls = 'person' WINDOW w AS (PARTITION BY clip, track_id ORDER BY frame))",
            "g AS (SELECT clip, track_id, coalesce(sum(s), 0.0) AS path, max(u) - min(u) AS cover, quantile_cont(sqrt((x + 20.0 - least(greatest(u, 0.0), 1.0) * 40.0) * (x + 20.0 - least(greatest(u, 0.0), 1.0) * 40.0) + (y - 30.0 - least(greatest(u, 0.0), 1.0) * 30.0) * (y - 30.0 - least(greatest(u, 0.0), 1.0) * 30.0)), 0.5) AS off FROM pp GROUP BY ALL)",
            then="SELECT clip, track_id FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY CASE WHEN cover > 0.5 THEN 0 ELSE 1 END, CASE WHEN cover > 0.5 THEN off ELSE -path END, track_id) AS n FROM g) WHERE n = 1"))

@@ -46,7 +46,7 @@ def field_sql(keys: list[str], rows: str, bounds: str, cell: float = CELL, smoot
         f"{q}b2 AS (SELECT {ks}s, i, j + k AS j, sum(w * g) * {area!r} AS w, sum(sx * g) * {area!r} AS sx, sum(sy * g) * {area!r} AS sy FROM {q}b1, {q}ker WHERE j + k BETWEEN j0 AND j1 GROUP BY ALL)",
         f"{q}m AS (SELECT {ks}i, j, (s + o + {bins}) % {bins} AS s, sum(CASE WHEN o = 0 THEN w ELSE 0 END) AS own, sum(w * f) AS w, sum(sx * f) AS sx, sum(sy * f) AS sy FROM {q}b2, (VALUES (0, 1.0), (1, 0.5), (-1, 0.5)) t(o, f) GROUP BY ALL)",
         f"{q}n AS (SELECT *, sum(own) OVER (PARTITION BY {ks}i, j) AS weight, row_number() OVER (PARTITION BY {ks}i, j ORDER BY round(w * 1e6) DESC, s) AS n FROM {q}m)",
-        f"{q}t AS (SELECT {ks}max(dt) AS dt FROM {q}d GROUP BY ALL)",
+        f"{q}t AS (SELECT {ks}quantile_cont(dt, 0.5) AS dt FROM {rows} GROUP BY ALL)",
         f"{q}f AS (SELECT {ks}CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, (i + 0.5) * {cell} AS cell_x, (j + 0.5) * {cell} AS cell_y, sx / w AS vx, sy / w AS vy, sqrt((sx / w) * (sx / w) + (sy / w) * (sy / w)) AS speed, {HEAD.format('sx / w', 'sy / w')} AS heading, weight / {area!r} * dt / {cell * cell} AS density, weight, 1 - exp(-weight / 15.0) AS confidence, least(w / (weight + 1e-12), 1.0) AS dominance FROM {q}n "
         + (f"JOIN {q}t USING ({', '.join(keys)})" if keys else f"CROSS JOIN {q}t")
         + " WHERE n = 1 AND weight >= 0.05)",

@@ -159,7 +159,7 @@ def depth_limit() -> Column:
 @query(f"SELECT site, grp, {r(_RANGE, 3)} AS range_m FROM calibrations, (SELECT DISTINCT \"group\" AS grp FROM group_params)")
 def prj12_precise_range(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "group_params").select(F.col("group").alias("grp")).distinct()
-    k = table(spark, sf, "calibrations").crossJoin(F.broadcast(g))
+    k = table(spark, sf, "calibrations").crossJoin(sized(g))
     return k.select("site", "grp", rounded(G.precise_range(depth_limit(), F.col("f_px"), F.col("height_m")), 3).alias("range_m"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import shutil
 from datetime import datetime
 from pathlib import Path
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounded
+from .store import exists, read_text, write_text
 
 TRACK = ["clip", "track_id"]
 
@@ -74,7 +74,7 @@ def predicted_gaps(points: DataFrame) -> DataFrame:
 def write_geojson(features: DataFrame, path: str, crs: str = "urn:ogc:def:crs:EPSG::27700") -> None:
     """SNK-07: one FeatureCollection per clip is a line-delimited file of features; crs goes beside it."""
     features.select("clip", "feature").write.mode("overwrite").partitionBy("clip").text(path)
-    Path(path, "crs.json").write_text(json.dumps({"type": "name", "properties": {"name": crs}}))
+    write_text(f"{path}/crs.json", json.dumps({"type": "name", "properties": {"name": crs}}))
 
 
 def stats_document(blocks: DataFrame) -> DataFrame:
@@ -84,16 +84,16 @@ def stats_document(blocks: DataFrame) -> DataFrame:
 
 
 def click_rows(clicks: DataFrame) -> DataFrame:
-    """SNK-21: with two decimals for pixels and three for metres."""
-    return clicks.select(*[F.format_number(F.col(c), 2).alias(c) for c in ("u", "v")], *[F.regexp_replace(F.format_number(F.col(c), 3), ",", "").alias(c) for c in ("E", "N")])
+    """SNK-21: with two decimals for pixels and three for metres, as plain numbers."""
+    plain = lambda c, places: F.regexp_replace(F.format_number(F.col(c), places), ",", "").alias(c)
+    return clicks.select(*[plain(c, 2) for c in ("u", "v")], *[plain(c, 3) for c in ("E", "N")])
 
 
 def save_calibration(path: str, matrix: list[float], origin: list[float], size: list[int], **more) -> None:
     """SNK-17: a calibration as JSON; paths in more are kept relative to its folder."""
     folder = Path(path).resolve().parent
-    folder.mkdir(parents=True, exist_ok=True)
     base = {k: str(Path(v).resolve().relative_to(folder)) if isinstance(v, Path) and Path(v).resolve().is_relative_to(folder) else (str(v) if isinstance(v, Path) else v) for k, v in more.items()}
-    Path(path).write_text(json.dumps({"H": [matrix[k : k + 3] for k in (0, 3, 6)], "origin": origin, "image_size": size} | base, indent=1))
+    write_text(path, json.dumps({"H": [matrix[k : k + 3] for k in (0, 3, 6)], "origin": origin, "image_size": size} | base, indent=1))
 
 
 def save_report(path: str, rows: DataFrame, most: int = 1000) -> None:
@@ -101,8 +101,7 @@ def save_report(path: str, rows: DataFrame, most: int = 1000) -> None:
     lines = [r[0] for r in rows.select(F.to_json(F.struct("*"))).limit(most + 1).collect()]
     if len(lines) > most:
         raise ValueError(f"a report has at most {most} rows; write longer tables with write_csv or write_parquet")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("[" + ",\n".join(lines) + "]")
+    write_text(path, "[" + ",\n".join(lines) + "]")
 
 
 def save_provenance(run: str, config: dict, inputs: list[str]) -> None:
@@ -138,8 +137,19 @@ def open_run(path: str) -> dict[str, Path]:
 
 
 def write_camera_position(path: str, camera: dict, note: str = "") -> None:
-    """SNK-23: the camera_position block of a YAML file, replaced or added; everything else stays as it is."""
-    text = Path(path).read_text() if Path(path).exists() else ""
-    block = "camera_position:" + (f"  # {note}" if note else "") + "\n" + "".join(f"  {k}: {v}\n" for k, v in camera.items())
-    pattern = re.compile(r"^camera_position:.*\n(?:[ \t]+.*\n?)*", re.MULTILINE)
-    Path(path).write_text(pattern.sub(lambda _: block, text, count=1) if pattern.search(text) else text.rstrip("\n") + ("\n" if text else "") + block)
+    """SNK-23: the camera_position block of a YAML file, replaced where it stands or added at the end; every other line stays as it is."""
+    lines = read_text(path).splitlines() if exists(path) else []
+    kept: list[str] = []
+    place, inside = None, False
+    for line in lines:
+        if line.startswith("camera_position:"):
+            place, inside = len(kept), True
+        elif inside and line[:1] in (" ", "\t"):
+            continue
+        else:
+            inside = False
+            kept.append(line)
+    title = "camera_position:" + (f"  # {note}" if note else "")
+    at = len(kept) if place is None else place
+    kept[at:at] = [title, *(f"  {name}: {value}" for name, value in camera.items())]
+    write_text(path, "\n".join(kept) + "\n")
