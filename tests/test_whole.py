@@ -53,7 +53,7 @@ def test_settings_of_a_configuration():
 
 
 def test_rays_bracketed_as_marched(spark):
-    """Steps of 0.5 m from the start, one ray at a time, against the bracketed march: a ridge of 2 m, up and down, off the raster."""
+    """Every ray's first way below the ground, by a march a hundred times finer: a ridge of 2 m, up and down, off the raster."""
     from trackloom.operators.ground import ray_cast
 
     rng = np.random.default_rng(5)
@@ -71,10 +71,26 @@ def test_rays_bracketed_as_marched(spark):
     got = ray_cast(spark.createDataFrame([(k, *r) for k, r in enumerate(rays)], "id long, ox double, oy double, oz double, dx double, dy double, dz double"), grid, -20.0, 20.0, 1.0, 2.0, 200.0).collect()
     for r in got:
         o, d = np.array([r.ox, r.oy, r.oz]), np.array([r.dx, r.dy, r.dz])
-        d = d / np.linalg.norm(d)
-        s = next((k * 0.5 for k in range(1, 401) if (p := o + d * k * 0.5)[2] <= ground(p[0], p[1])), None)
-        assert (r.gx is None) == (s is None)
-        assert s is None or 0 <= s - np.linalg.norm([r.gx - r.ox, r.gy - r.oy, r.gz - r.oz]) <= 0.5 + 1e-6
+        # a hundred times finer than the operator, across the ground, from above to below
+        d = d / np.hypot(d[0], d[1])
+        up = [(o + d * q)[2] > ground(*(o + d * q)[:2]) for q in np.arange(40_001) / 200]
+        falls = [q for q in range(1, 40_001) if up[q - 1] and not up[q]]
+        hit = None if r.gx is None else 200 * np.hypot(r.gx - r.ox, r.gy - r.oy)
+        assert hit is None or any(abs(hit - q) < 4 for q in falls)
+        # only dips shorter than a step may have been passed over
+        assert all(any(up[q : q + 102]) for q in falls if q < (39_800 if hit is None else hit - 4))
+
+
+def test_a_ray_from_underground_surfaces_first(spark):
+    """The first leaves the ground below its start and meets the wall beyond, the second stays under it."""
+    from trackloom.operators.ground import ray_cast
+
+    grid = np.zeros((40, 40))
+    grid[:, 30:] = 8.0
+    rays = [(1, -15.0, 0.0, -1.0, 1.0, 0.0, 0.1), (2, -15.0, 0.0, -1.0, 1.0, 0.0, -0.1)]
+    cast = ray_cast(spark.createDataFrame(rays, "id long, ox double, oy double, oz double, dx double, dy double, dz double"), grid, -20.0, 20.0, 1.0, 0.0, 200.0)
+    got = {r.id: r.gx for r in cast.collect()}
+    assert got[2] is None and 9.0 < got[1] < 11.0
 
 
 def test_a_ray_for_every_point(spark, sf):
