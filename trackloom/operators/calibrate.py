@@ -131,9 +131,8 @@ def estimate_camera(h: np.ndarray, size: tuple[int, int]) -> tuple[float, np.nda
     u, _, v = np.linalg.svd(rot)
     rot = u @ v
     where = -rot.T @ k[:, 2]
-    if where[2] < 0:
-        where = -rot.T @ -k[:, 2] if np.linalg.det(rot) > 0 else where
-        where[2] = abs(where[2])
+    # a matrix and its negative are one; with the other sign both plane axes and the shift turn round, so that x and y stay
+    where[2] = abs(where[2])
     return (float(f), where) if f >= 50 and 0.1 <= where[2] <= 10_000 else None
 
 
@@ -193,27 +192,6 @@ def spread(clicks: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.sqrt(F.greatest(mid - half, F.lit(0.0)) / (mid + half)).alias("spread"))
 
 
-def consensus(clicks: DataFrame, keys: list[str], subsets: int = 120, close: float = 1.0) -> DataFrame:
-    """CAL-06: of random five-click subsets the fit with most clicks within close metres, the smaller median on
-    ties; one row per key: subset, agreeing, median_m. Subsets are rows, drawn by hash order."""
-    c = clicks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("u", "v", "x", "y"))).alias("all")).where(F.size("all") >= 5)
-    s = c.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))))
-
-    @F.pandas_udf("struct<agreeing: long, median_m: double>")
-    def score(subset: pd.Series, everything: pd.Series) -> pd.DataFrame:
-        out = []
-        for k, rows in zip(subset, everything):
-            m = np.array([[r["u"], r["v"], r["x"], r["y"]] for r in rows])
-            pick = np.random.default_rng(int(k)).choice(len(m), 5, replace=False)
-            h = homography(m[pick, :2], m[pick, 2:])
-            e = np.hypot(*(project(h, m[:, :2]) - m[:, 2:]).T)
-            out.append((int((e < close).sum()), float(np.median(e))))
-        return pd.DataFrame(out, columns=["agreeing", "median_m"])
-
-    r = s.select(*keys, "subset", score("subset", "all").alias("r")).select(*keys, "subset", "r.*")
-    return r.groupBy(*keys).agg(F.min(F.struct(-F.col("agreeing"), "median_m", "subset")).alias("b")).select(*keys, F.col("b.subset").alias("subset"), (-F.col("b.col1")).alias("agreeing"), F.col("b.median_m").alias("median_m"))
-
-
 def nearest_lines(points: DataFrame, segments: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
     """CAL-09: per point the distance to the nearest segment and its direction in degrees, 0 .. 180."""
     d = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
@@ -303,18 +281,6 @@ def reports(fitted: DataFrame, warn_m: float = 0.5) -> DataFrame:
     return fitted.withColumn("report", text).withColumn("warnings", F.array_join(warnings, "; "))
 
 
-def calibrated(px: np.ndarray, world: np.ndarray, size: tuple[int, int], prior: np.ndarray, outlier_m: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """CAL-07: the physical camera fitted to all clicks, then again without those whose ground error is beyond
-    max(outlier_m, 3 x median), as long as six remain. Gives the parameters and which clicks count."""
-    p, _ = fit_camera(px, world, size, prior)
-    h = np.linalg.inv(_camera_from(float(np.exp(p[0])), p[1:], size))
-    e = np.hypot(*(project(h, px) - world).T)
-    keep = e <= max(outlier_m, 3 * float(np.median(e)))
-    if keep.all() or keep.sum() < 6:
-        return p, np.ones(len(px), bool)
-    return fit_camera(px[keep], world[keep], size, p)[0], keep
-
-
 def people_fit(heights: DataFrame, keys: list[str], scales: list[float], true_m: float = 1.70, enough: int = 30) -> DataFrame:
     """CAL-12, the scale: per keys the factor on distances at which people are as tall as they are in every band.
 

@@ -55,11 +55,6 @@ def cal02_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(C.spread(clicks(spark, sf), ["site"]))
 
 
-@query()
-def cal06_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return rnd(C.consensus(clicks(spark, sf), ["site"]), 4)
-
-
 _NEAR = [EDGES, f"nd AS (SELECT site, clip, track_id, frame, speed, heading, round({SEG.format(x='x', y='y')}, 9) AS d, round((degrees(atan2(ex - ax, ey - ay)) + 360.0) - 180.0 * floor((degrees(atan2(ex - ax, ey - ay)) + 360.0) / 180.0), 6) AS axis FROM (SELECT p.site, clip, track_id, frame, speed, heading, x, y, ax, ay, ex, ey, {SEGU.format(x='x', y='y')} AS u FROM p JOIN e ON e.site = p.site AND e.kind = 'roadway' WHERE grp = 'vehicles'))",
          "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, clip, track_id, frame ORDER BY d, axis) AS n FROM nd) WHERE n = 1)"]
 
@@ -99,15 +94,6 @@ def cal13_quality(spark: SparkSession, sf: str) -> DataFrame:
     return C.quality(C.road_residuals(near_roads(spark, sf), ["site"])).select("site", "verdict")
 
 
-@query()
-def cal14_best_method(spark: SparkSession, sf: str) -> DataFrame:
-    """Plain fits to all clicks against fits to every second one."""
-    c = clicks(spark, sf)
-    whole = C.held_out(c, ["site"]).withColumn("method", F.lit("all clicks"))
-    half = C.held_out(c.where("k % 2 = 0"), ["site"]).withColumn("method", F.lit("every second"))
-    return rnd(C.best_method(whole.unionByName(half), ["site"]), 4)
-
-
 @query("SELECT clip, f AS frame, " + r("greatest(sqrt((0.02 * (f % 10)) ** 2 + (0.01 * (f % 7)) ** 2), 0.0)", 6) + " AS drift_px FROM clips, range(0, 50) t(f)")
 def cal20_drift(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "clips").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("frame"))
