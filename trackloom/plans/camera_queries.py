@@ -17,7 +17,7 @@ from ..sources.readers import synthetic_walks
 from ..sources.tables import table
 from .aggregates import rnd
 from .base import POINTS, points, r, sql
-from .calibration_queries import CLICKS, clicks
+from .calibration_queries import exact_clicks
 from .registry import query
 
 
@@ -70,14 +70,6 @@ def priors(spark: SparkSession, sf: str) -> DataFrame:
     return k.select("site", "image_w", "image_h", F.lit(8.0).alias("yaw"), (F.col("pitch_deg") + 4).alias("tilt"), (F.col("f_px") * 0.75).alias("focal"), F.lit(3.0).alias("x"), F.lit(-24.0).alias("y"), (F.col("height_m") + 2).alias("height"), F.lit(15.0).alias("position_tol"), F.lit(6.0).alias("height_tol"))
 
 
-def exact_clicks(spark: SparkSession, sf: str) -> DataFrame:
-    """The sites' clicks without errors but for one in twelve, which is 25 m off."""
-    c = clicks(spark, sf)
-    x = F.col("x") - 0.05 * ((F.col("k") * 7) % 5 - 2)
-    y = F.col("y") - 0.05 * ((F.col("k") * 11) % 5 - 2)
-    return c.withColumn("x", F.when(F.col("k") == 5, x + 25.0).otherwise(x)).withColumn("y", y)
-
-
 @query("SELECT site, true AS focal, true AS height, true AS tilt, true AS place FROM calibrations")
 def cal04_cameras(spark: SparkSession, sf: str) -> DataFrame:
     """Cameras fitted to clicks that are right, against the sites' own: within 3 %, 1 m, half a degree and 1.5 m."""

@@ -114,7 +114,25 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     return C.greedy_matching(candidates(spark, sf))
 
 
-@query()
+#: Edges of a clip in order, taken one by one: what is taken at either end so far goes along as lists.
+_MATCH = [
+    "ed AS (SELECT clip, i_track, CAST(i_seg AS BIGINT) AS i_seg, j_track, CAST(j_seg AS BIGINT) AS j_seg, err, row_number() OVER (PARTITION BY clip ORDER BY err, i_track, i_seg, j_track, j_seg) AS n FROM c)",
+    """mt AS (SELECT clip, 0::BIGINT AS n, []::VARCHAR[] AS ii, []::VARCHAR[] AS jj, false AS took, NULL::BIGINT AS i_track, NULL::BIGINT AS i_seg, NULL::BIGINT AS j_track, NULL::BIGINT AS j_seg, NULL::DOUBLE AS err FROM (SELECT DISTINCT clip FROM ed)
+  UNION ALL
+  SELECT clip, n, CASE WHEN free THEN list_append(ii, a) ELSE ii END, CASE WHEN free THEN list_append(jj, b) ELSE jj END, free, i_track, i_seg, j_track, j_seg, err FROM (
+    SELECT ed.clip, ed.n, mt.ii, mt.jj, ed.i_track || '/' || ed.i_seg AS a, ed.j_track || '/' || ed.j_seg AS b,
+      NOT list_contains(mt.ii, ed.i_track || '/' || ed.i_seg) AND NOT list_contains(mt.jj, ed.j_track || '/' || ed.j_seg) AS free, ed.i_track, ed.i_seg, ed.j_track, ed.j_seg, ed.err
+    FROM mt JOIN ed ON ed.clip = mt.clip AND ed.n = mt.n + 1))""",
+    "lk AS (SELECT clip, i_track, i_seg, j_track, j_seg, err FROM mt WHERE took)",
+]
+_CHAINS = [
+    "sg AS (SELECT clip, track_id, CAST(seg AS BIGINT) AS seg, count(*) AS n, any_value(cls) AS cls FROM s0 GROUP BY clip, track_id, seg)",
+    """ch AS (SELECT clip, track_id AS root, seg AS root_seg, track_id, seg, 0 AS place FROM sg WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.clip = sg.clip AND lk.j_track = sg.track_id AND lk.j_seg = sg.seg)
+  UNION ALL SELECT ch.clip, root, root_seg, lk.j_track, lk.j_seg, place + 1 FROM ch JOIN lk ON lk.clip = ch.clip AND lk.i_track = ch.track_id AND lk.i_seg = ch.seg)""",
+]
+
+
+@query(sql(POINTS, *SEGMENTS, _ENDS, _CAND, *_MATCH, then=f"SELECT clip, i_track, i_seg, j_track, j_seg, {r('err', 3)} AS err FROM lk").replace("WITH ", "WITH RECURSIVE ", 1))
 def cln12_matching(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(links(spark, sf).select("clip", F.col("i.track_id").alias("i_track"), F.col("i.seg").alias("i_seg"), F.col("j.track_id").alias("j_track"), F.col("j.seg").alias("j_seg"), "err"), 3)
 
@@ -123,7 +141,7 @@ def segment_table(spark: SparkSession, sf: str) -> DataFrame:
     return segmented(spark, sf).groupBy("clip", "track_id", "seg").agg(F.count("*").alias("n"), F.first("cls").alias("cls"), F.first("grp").alias("grp"))
 
 
-@query()
+@query(sql(POINTS, *SEGMENTS, _ENDS, _CAND, *_MATCH, *_CHAINS, then="SELECT clip, root AS track_id, root_seg AS seg, string_agg(CAST(track_id AS VARCHAR), '+' ORDER BY place) AS tracker_ids, arg_min(cls, -n * 1000 + place) AS cls, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n FROM ch JOIN sg USING (clip, track_id, seg) GROUP BY clip, root, root_seg").replace("WITH ", "WITH RECURSIVE ", 1))
 def cln13_chains(spark: SparkSession, sf: str) -> DataFrame:
     s = cut_lineage(segment_table(spark, sf))
     places = C.chains(s.select("clip", F.struct("track_id", "seg").alias("k")), links(spark, sf))
@@ -188,7 +206,30 @@ def cln18_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(smooth(spark, sf).withColumn("_n", n).where("_n >= 3").select("clip", "track_id", "seg", "frame", "x", "y", "vx", "vy"), 3)
 
 
-@query()
+def _local_sql(q: str, src: str, value: str, width: str, degree: str) -> list[str]:
+    """CTEs that end in {q}s: value and slope of each row's window, by sums over the rows it holds."""
+    w = f"least({width}, c - 1 + c % 2)"
+    return [
+        f"{q}w AS (SELECT clip, track_id, seg, frame, n, c, {value} AS v, {degree} AS dg, {w} AS ww, ({w} - 1) // 2 AS hh FROM {src})",
+        f"{q}z AS (SELECT *, least(greatest(n, hh), c - 1 - hh) AS z FROM {q}w)",
+        f"{q}m AS (SELECT a.clip, a.track_id, a.seg, a.frame, a.dg, a.ww, a.hh::DOUBLE AS h, (a.n - a.z)::DOUBLE AS k, any_value(a.v) AS v, sum(b.v) AS m0, sum(b.v * (b.n - a.z)) AS m1, sum(b.v * (b.n - a.z) * (b.n - a.z)) AS m2 FROM {q}z a JOIN {q}w b ON a.clip = b.clip AND a.track_id = b.track_id AND a.seg = b.seg AND b.n BETWEEN a.z - a.hh AND a.z + a.hh GROUP BY ALL)",
+        f"{q}q AS (SELECT *, 2 * h + 1 AS q0, greatest(h * (h + 1) * (2 * h + 1) / 3, 1e-300) AS q2, h * (h + 1) * (2 * h + 1) / 3 * (3 * h * h + 3 * h - 1) / 5 AS q4 FROM {q}m)",
+        f"{q}d AS (SELECT clip, track_id, seg, frame, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / greatest((CASE WHEN lead(v) OVER w IS NULL THEN 0 ELSE 1 END) + (CASE WHEN lag(v) OVER w IS NULL THEN 0 ELSE 1 END), 1) AS slope FROM {q}w WINDOW w AS (PARTITION BY clip, track_id, seg ORDER BY n))",
+        f"{q}s AS (SELECT clip, track_id, seg, frame, CASE WHEN ww <= dg THEN v WHEN dg = 2 THEN (q4 * m0 - q2 * m2) / (q0 * q4 - q2 * q2) + k * m1 / q2 + k * k * (q0 * m2 - q2 * m0) / (q0 * q4 - q2 * q2) ELSE m0 / q0 + k * m1 / q2 END AS v, "
+        f"CASE WHEN ww <= dg THEN slope WHEN dg = 2 THEN m1 / q2 + 2 * k * (q0 * m2 - q2 * m0) / (q0 * q4 - q2 * q2) ELSE m1 / q2 END AS s FROM {q}q JOIN {q}d USING (clip, track_id, seg, frame))",
+    ]
+
+
+_POLAR = [
+    "p0 AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY clip, track_id, seg) AS c, sqrt(x * x + (y + 20.0) * (y + 20.0)) AS far, atan2(y + 20.0, x) AS th, atan2(y + 20.0, x) - lag(atan2(y + 20.0, x)) OVER w AS dth FROM d3 WINDOW w AS (PARTITION BY clip, track_id, seg ORDER BY frame))",
+    "p1 AS (SELECT *, th - 2 * pi() * sum(coalesce(round(dth / (2 * pi())), 0.0)) OVER (PARTITION BY clip, track_id, seg ORDER BY frame) AS turn, least(greatest(pow(quantile_cont(sqrt(far * far + 144.0) / 12.0, 0.5) OVER (PARTITION BY clip, track_id, seg), 2.0 / 3.0), 1.0), 4.0) AS fac FROM p0)",
+    "p2 AS (SELECT *, CASE WHEN fac > 1.5 THEN 1 ELSE 2 END AS deg, greatest(CAST(round_even(5 * fac, 0) AS BIGINT), CASE WHEN fac > 1.5 THEN 3 ELSE 4 END) AS lw FROM p1)",
+    *_local_sql("r", "p2", "far", "(lw + 1 - lw % 2)", "deg"),
+    *_local_sql("t", "p2", "turn", "5", "2"),
+]
+
+
+@query(sql(POINTS, *SEGMENTS, _DENSE, *_POLAR, then=f"SELECT clip, track_id, seg, p2.frame, p2.t, {r('rs.v * cos(ts.v)', 3)} AS x, {r('-20.0 + rs.v * sin(ts.v)', 3)} AS y, {r('(rs.s * cos(ts.v) - rs.v * ts.s * sin(ts.v)) / 0.5', 3)} AS vx, {r('(rs.s * sin(ts.v) + rs.v * ts.s * cos(ts.v)) / 0.5', 3)} AS vy FROM p2 JOIN rs USING (clip, track_id, seg, frame) JOIN ts USING (clip, track_id, seg, frame)".replace(f"p2.t, ", f"{r('p2.t', 3)} AS t, ", 1)))
 def cln19_smoothed_radially(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(C.smoothed_radially(dense(spark, sf).select("clip", "track_id", "seg", "frame", "t", "x", "y"), 5, 0.5, (0.0, -20.0, 12.0)), 3)
 

@@ -103,6 +103,19 @@ def prj08_ray_cast(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(G.ray_cast(p, scene(), -200.0, 200.0, 1.0, 5.0).select("clip", "track_id", "frame", "gx", "gy", "gz"), 3)
 
 
+@query(sql(POINTS, then="SELECT clip, track_id, frame, true AS near FROM p"))
+def prj08_plane(spark: SparkSession, sf: str) -> DataFrame:
+    """Rays to every row of points over one inclined plane of 10 m cells, against where they meet it by arithmetic."""
+    row, column = np.mgrid[0:240, 0:240]
+    # heights at the cells' centres, in x and y of the site
+    grid = 2.0 + 0.01 * (-1200.0 + 10.0 * (column + 0.5)) - 0.005 * (1200.0 - 10.0 * (row + 0.5))
+    p = points(spark, sf).select("clip", "track_id", "frame", F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(60.0).alias("oz"), F.col("x").alias("dx"), F.col("y").alias("dy"), F.lit(-60.0).alias("dz"))
+    got = G.ray_cast(p, grid, -1200.0, 1200.0, 10.0, 0.0)
+    s = (F.col("oz") - 2.0) / (0.01 * F.col("dx") - 0.005 * F.col("dy") - F.col("dz"))
+    off = F.sqrt((F.col("gx") - s * F.col("dx")) ** 2 + (F.col("gy") - s * F.col("dy")) ** 2)
+    return got.select("clip", "track_id", "frame", F.coalesce(off < 0.01, F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) < 1e-9).alias("near"))
+
+
 def terrain(spark: SparkSession) -> DataFrame:
     return spark.range(160_000).select((F.col("id") / 400).cast("long").alias("row"), (F.col("id") % 400).alias("col")).withColumn("z", 5.0 + 0.01 * F.col("col") + 0.02 * F.col("row"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import pipeline as P
@@ -39,3 +39,21 @@ def cln23_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cln23_counters(spark: SparkSession, sf: str) -> DataFrame:
     return P.counters(boxes(spark, sf), processed(spark, sf))
+
+
+@query("SELECT DISTINCT clip, true AS same_tracks, true AS same_points, true AS same_sources, true AS on_lattice, true AS in_time FROM raw_boxes WHERE clip IN (SELECT clip FROM clips) AND false")
+def cln23_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips whose points and summary disagree, in tracks, rows, sources, frames off the lattice or times; there are none."""
+    done = processed(spark, sf)
+    rates = table(spark, sf, "clips").select("clip", F.col("fps").cast("double").alias("fps"), F.col("vid_stride").alias("stride"))
+    w = Window.partitionBy("clip", "track_id").orderBy("frame")
+    p = done.points.join(sized(rates), "clip").withColumn("_step", F.col("frame") - F.lag("frame").over(w))
+    a = p.groupBy("clip").agg(
+        F.count_distinct("track_id").alias("tracks"), F.count("*").alias("n"), F.sum((F.col("source") == "interpolated").cast("long")).alias("i"),
+        F.min(F.coalesce(F.col("_step") == F.col("stride"), F.lit(True))).alias("on_lattice"), F.min(F.abs(F.col("time_s") - F.col("frame") / F.col("fps")) < 1e-3).alias("in_time"),
+    )
+    b = done.summary.groupBy("clip").agg(F.count("*").alias("_tracks"), F.sum("n_points").alias("_n"), F.sum("n_interpolated").alias("_i"))
+    j = a.join(b, "clip", "full")
+    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+    j = j.select("clip", same("tracks", "_tracks").alias("same_tracks"), same("n", "_n").alias("same_points"), same("i", "_i").alias("same_sources"), F.coalesce("on_lattice", F.lit(False)).alias("on_lattice"), F.coalesce("in_time", F.lit(False)).alias("in_time"))
+    return j.where("not (same_tracks and same_points and same_sources and on_lattice and in_time)")
