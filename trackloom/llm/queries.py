@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, sized
 from ..sources.tables import table
 from . import packing, quantiles, runs, tokens, truncation
 
@@ -39,7 +39,7 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     packs = table(spark, sf, "pack_sizes").select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity"))
     per = p7_containers(spark, sf).groupBy("pack_id", "container_id").agg(F.sum("length").alias("used"), F.sum((F.col("piece") == 1).cast("long")).alias("split"))
     per = per.groupBy("pack_id").agg(F.sum((F.col("used") > 0).cast("long")).alias("containers"), F.sum("used").alias("tokens"), F.sum("split").alias("split_texts"))
-    return per.join(F.broadcast(packs), "pack_id").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+    return per.join(sized(packs), "pack_id").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
 def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,9 +49,9 @@ def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
     placed = cut_lineage(packing.packed_documents(documents, table(spark, sf, "pack_sizes")))
     held = placed.where("length > 0").withColumn("before", F.lag(F.col("start") + F.col("length")).over(Window.partitionBy("pack_id", "container_id").orderBy("start")))
     wrong = held.groupBy("pack_id", "container_id").agg(F.sum((F.col("start") < F.coalesce("before", F.lit(0))).cast("long")).alias("overlaps"), F.sum((F.col("start") > F.coalesce("before", F.lit(0))).cast("long")).alias("gaps"), F.sum("length").alias("used"))
-    per = wrong.join(F.broadcast(packs), "pack_id").groupBy("pack_id", "capacity").agg(F.sum("overlaps").alias("overlaps"), F.sum("gaps").alias("gaps"), F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("beyond"), F.count("*").alias("n"), F.sum("used").alias("tokens"))
+    per = wrong.join(sized(packs), "pack_id").groupBy("pack_id", "capacity").agg(F.sum("overlaps").alias("overlaps"), F.sum("gaps").alias("gaps"), F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("beyond"), F.count("*").alias("n"), F.sum("used").alias("tokens"))
     sizes = packing.document_lengths(documents, "byte_bpe_50k").groupBy("doc_id").agg(F.sum("length").alias("whole"), F.count("*").alias("copies"))
-    texts = placed.groupBy("pack_id", "doc_id").agg(F.sum("length").alias("length"), F.count("*").alias("pieces")).join(sizes, "doc_id", "full").join(F.broadcast(packs), "pack_id", "left")
+    texts = placed.groupBy("pack_id", "doc_id").agg(F.sum("length").alias("length"), F.count("*").alias("pieces")).join(sizes, "doc_id", "full").join(sized(packs), "pack_id", "left")
     texts = texts.groupBy("pack_id").agg(
         F.sum((F.col("pieces") > F.when(F.col("whole") <= F.col("capacity"), F.col("copies")).otherwise(F.ceil(F.col("whole") / F.col("capacity")) + F.col("copies") - 1)).cast("long")).alias("split"),
         F.sum((~F.col("length").eqNullSafe(F.col("whole"))).cast("long")).alias("not_whole"),
