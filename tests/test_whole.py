@@ -108,3 +108,12 @@ def test_reports_are_whole_or_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         save_report(str(tmp_path / "b.json"), spark.range(1001))
     assert not (tmp_path / "b.json").exists()
+
+
+def test_ids_of_thousands_of_clips(spark):
+    """The 2,148th clip's ids move by more than an int holds."""
+    from trackloom.operators.composite import renumbered
+
+    rows = [(f"c{k:04d}", 1_000_000 + k, k) for k in range(1, 2201)]
+    got = {r.clip: r.track_id for r in renumbered(spark.createDataFrame(rows, "clip string, track_id long, frame long")).collect()}
+    assert got == {c: t + 1_000_000 * k for c, t, k in rows}

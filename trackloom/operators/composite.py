@@ -30,7 +30,8 @@ def united(clips: list[DataFrame]) -> DataFrame:
 
 def renumbered(points: DataFrame) -> DataFrame:
     """CMP-01 on one table: ids of the k-th clip by name moved by k million."""
-    order = points.select("clip").distinct().withColumn("_k", F.row_number().over(Window.orderBy("clip")))
+    # long: from the 2,148th clip on the product is beyond an int
+    order = points.select("clip").distinct().withColumn("_k", F.row_number().over(Window.orderBy("clip")).cast("long"))
     return points.join(sized(order), "clip").withColumn("track_id", F.col("track_id") + F.col("_k") * 1_000_000).drop("_k")
 
 
